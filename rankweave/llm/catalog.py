@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from rankweave.llm import token_output
+from rankweave.llm import near_dedup, token_output
 from rankweave.llm.common import Query
 
 QUERIES: dict[str, Query] = {
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op7_token_output": token_output.op7_token_output,
 }
 
