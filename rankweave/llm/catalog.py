@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from rankweave.llm import near_dedup, token_output
+from rankweave.llm import decontamination, language_id, mixing, near_dedup, token_output
 from rankweave.llm.common import Query
 
 QUERIES: dict[str, Query] = {
+    "op1_language_id": language_id.op1_language_id,
     "op5_near_dedup": near_dedup.op5_near_dedup,
+    "op6_decontamination": decontamination.op6_decontamination,
     "op7_token_output": token_output.op7_token_output,
+    "op8_mixing": mixing.op8_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
