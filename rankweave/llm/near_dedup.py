@@ -24,6 +24,8 @@ WORDS, KEPT, PERCENT = 5, 64, 75
 SHARED = 28
 #: Members of a list that are compared in one task.
 BLOCK = 4096
+#: Most ids that are broadcast (about 100 MB).
+SENT = 1_000_000
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
@@ -84,10 +86,12 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = [shingles(text.as_py()) for text in batch.column(1)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([_set_key(x) for x in values], pa.binary()), pa.array([x.tobytes() for x in values], pa.binary())], names=["id", "set_key", "members"]
-        )
+        found = []
+        for doc_id, text, key in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            values = shingles(text.as_py())
+            if len(values) and _set_key(values) == key:
+                found.append((doc_id, values.tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["id", "members"])
 
 
 def group_links(ids: list[int], sides: list[int], sets: list[np.ndarray], across: bool) -> list[tuple[int, int]]:
@@ -192,9 +196,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stored(usable.groupBy("set_key").agg(F.min("doc_id").alias("id")), "classes")
     reps = usable.join(classes, (usable.doc_id == classes.id) & (usable.set_key == classes.set_key)).select("id", classes.set_key, F.col("n_shingles").alias("n"), "sketch")
     lists = stored(candidate_lists(reps), "lists")
-    active = lists.select("id").distinct().join(classes, "id")
-    sets = docs.join(active.select("id").distinct(), docs.doc_id == F.col("id"), "left_semi").mapInArrow(_sets, "id long, set_key binary, members binary")
-    sets = sets.join(active, ["id", "set_key"], "left_semi").dropDuplicates(["id", "set_key"]).select("id", "members")
+    active = stored(lists.select("id").distinct().join(classes, "id"), "active")
+    # a few in a hundred of all documents: sent to the texts while they are few, else the texts are dealt by doc_id
+    wanted = F.broadcast(active) if active.count() <= SENT else active
+    sets = docs.join(wanted, docs.doc_id == F.col("id")).select("id", "text", "set_key").mapInArrow(_sets, "id long, members binary")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     placed = lists.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     placed = placed.select("v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id")
@@ -205,7 +210,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = with_class.join(labels, "id", "left").select("doc_id", "n_shingles", F.coalesce("label", "id", "doc_id").alias("component_id"))
     found = found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     result = stored(found, "components")
-    drop_stored(own, classes, lists, links)
+    drop_stored(own, classes, lists, active, links)
     return result
 
 
