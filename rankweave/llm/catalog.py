@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from rankweave.llm import chat, decontamination, language_id, mixing, near_dedup, token_output, warc
+from rankweave.llm import chat, decontamination, fingerprint, language_id, mixing, near_dedup, token_output, warc
 from rankweave.llm.common import Query
 
 QUERIES: dict[str, Query] = {
     "op1_language_id": language_id.op1_language_id,
     "op3_warc": warc.op3_warc,
+    "op4_fingerprint": fingerprint.op4_fingerprint,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_token_output": token_output.op7_token_output,
