@@ -237,7 +237,7 @@ class UnitEncoder:
     text is encoded whole. Two generations of at most ``kept`` words each are remembered.
     """
 
-    def __init__(self, path: str, kept: int = 400_000) -> None:
+    def __init__(self, path: str, kept: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -246,41 +246,40 @@ class UnitEncoder:
         self.kept = kept
         self.after_space: tuple[dict, dict] = ({}, {})
         self.at_start: tuple[dict, dict] = ({}, {})
+        self.marks: dict[str, bytes] = {}
         self.feed = self._library(["\n"])[0]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in found]
 
-    def _words(self, words: list[str], known: tuple[dict, dict], before: str) -> bytes:
+    def _learn(self, words: set[str], known: tuple[dict, dict], before: str) -> None:
+        """Make sure that all ``words`` are among the young."""
         young, old = known
-        new = set(words).difference(young)
-        if new:
-            if len(young) > self.kept:
-                old.clear()
-                old.update(young)
-                young.clear()
-                new = set(words)
-            unseen, marked = set(), []
-            for word in new:
-                if (ids := old.get(word)) is not None:
-                    young[word] = ids
-                elif m := _MARKED.fullmatch(word):
-                    marked.append((word, *m.groups()))
-                    unseen.update(x for x in (m[1],) if x not in young)
-                else:
-                    unseen.add(word)
-            unseen = list(unseen)
-            young.update(zip(unseen, self._library([before + x for x in unseen]), strict=True))
-            for word, letters, marks in marked:
-                young[word] = young[letters] + self._marks(marks)
-        return b"".join(map(young.__getitem__, words))
-
-    def _marks(self, marks: str) -> bytes:
-        known = self.at_start[0]
-        if marks not in known:
-            known[marks] = self._library([marks])[0]
-        return known[marks]
+        new = words.difference(young)
+        if not new:
+            return
+        if len(young) + len(new) > self.kept:
+            old.clear()
+            old.update(young)
+            young.clear()
+            new = words
+        unseen, marked = set(), []
+        for word in new:
+            if (ids := old.get(word)) is not None:
+                young[word] = ids
+            elif m := _MARKED.fullmatch(word):
+                marked.append((word, *m.groups()))
+                if m[1] not in young:
+                    unseen.add(m[1])
+            else:
+                unseen.add(word)
+        unseen = list(unseen)
+        young.update(zip(unseen, self._library([before + x for x in unseen]), strict=True))
+        for word, letters, marks in marked:
+            if marks not in self.marks:
+                self.marks[marks] = self._library([marks])[0]
+            young[word] = young[letters] + self.marks[marks]
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
@@ -288,10 +287,13 @@ class UnitEncoder:
         lines = [line.split(" ") for line in text.split("\n")]
         if any("" in line for line in lines) or len(text.split()) != sum(map(len, lines)):
             return np.frombuffer(self._library([text])[0], self.dtype)
-        parts = []
+        firsts = [line[0] for line in lines]
         for line in lines:
-            parts += self._words(line[:1], self.at_start, "") + self._words(line[1:], self.after_space, " "), self.feed
-        return np.frombuffer(b"".join(parts[:-1]), self.dtype)
+            del line[0]
+        self._learn(set(firsts), self.at_start, "")
+        self._learn(set().union(*lines), self.after_space, " ")
+        start, after = self.at_start[0], self.after_space[0].__getitem__
+        return np.frombuffer(self.feed.join([start[first] + b"".join(map(after, line)) for first, line in zip(firsts, lines, strict=True)]), self.dtype)
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
@@ -318,7 +320,7 @@ def _writer(tokenizer_path: str, folder: str):
             for batch in batches:
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     out.add(doc_id, np.append(own.encode(text.as_py()), own.dtype.type(END_ID)))
-                    n_docs += 1
+                n_docs += len(batch)
             out.close()
         fs.move(draft, final)
         yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"part-{part:06d}.tok"], "n_docs": [n_docs], "n_tokens": [out.n_tokens], "n_bytes": [out.at]}, schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())]))
