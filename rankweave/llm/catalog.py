@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from rankweave.llm import chat, decontamination, fingerprint, language_id, mixing, near_dedup, token_output, warc
+from rankweave.llm import chat, decontamination, fingerprint, language_id, license_scan, line_dedup, mixing, near_dedup, token_output, warc
 from rankweave.llm.common import Query
 
 QUERIES: dict[str, Query] = {
     "op1_language_id": language_id.op1_language_id,
+    "op2_license_scan": license_scan.op2_license_scan,
     "op3_warc": warc.op3_warc,
     "op4_fingerprint": fingerprint.op4_fingerprint,
     "op5_near_dedup": near_dedup.op5_near_dedup,
@@ -14,6 +15,7 @@ QUERIES: dict[str, Query] = {
     "op7_token_output": token_output.op7_token_output,
     "op8_mixing": mixing.op8_mixing,
     "op9_chat_formatting": chat.op9_chat_formatting,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
