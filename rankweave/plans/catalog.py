@@ -1,24 +1,8 @@
-"""Registered queries over the driver tables, each with its DuckDB statement where SQL can express it."""
+"""All registered queries over the driver tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from rankweave.plans import analytics, retrieval, text
+from rankweave.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Add a query and, where SQL can express it, the statement DuckDB must agree with."""
-
-    def add(query: Query) -> Query:
-        QUERIES[name] = query
-        if sql:
-            ORACLE_SQL[name] = sql
-        return query
-
-    return add
+__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "retrieval", "text"]
