@@ -158,6 +158,19 @@ def expectation(answer: Column, expect: Column, must: Column, forbidden: Column,
     return F.when(expect == "answer_with_citation", hit).when(expect == "cite_rule", hit & (n_citations >= 1)).otherwise(out)
 
 
+def red_team_screen(cases: DataFrame, answers: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Stored answers graded again: cases (rid, risk, expect, must, forbid_output) with answers (rid, answer, error, seconds).
+
+    rid, risk, passed, n_citations, bad_pages, bad_paths, error, seconds; answers that failed are not graded.
+    """
+    cited = citation_report(answers.select(F.col("rid").alias("qid"), "answer"), chunks).groupBy(F.col("qid").alias("rid")).agg(
+        F.count("*").alias("n_citations"), F.count_if(~F.col("page_ok")).alias("bad_pages"), F.count_if(F.col("page_ok") & ~F.col("path_ok")).alias("bad_paths")
+    )
+    rows = cases.join(answers, "rid").join(cited, "rid", "left").fillna(0, ["n_citations", "bad_pages", "bad_paths"])
+    passed = F.when(F.col("error").isNull(), expectation(F.col("answer"), F.col("expect"), F.col("must"), F.col("forbid_output"), F.col("n_citations")))
+    return rows.select("rid", "risk", passed.alias("passed"), "n_citations", "bad_pages", "bad_paths", "error", "seconds")
+
+
 def unreviewed(cases: DataFrame) -> DataFrame:
     return cases.where(~F.coalesce("reviewed", F.lit(False))).select("qid")
 

@@ -153,3 +153,38 @@ def test_rows_are_appended_once(spark, tmp_path):
     incremental.append_once(incremental.stream_rows(spark, source, "k string, seq int"), ("k", "seq"), target, str(tmp_path / "cp1")).awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(target).collect())) == [("a", 1), ("a", 2), ("b", 1)]
     assert sorted(map(tuple, incremental.current(spark, target, ["k"], ["seq"]).collect())) == [("a", 2), ("b", 1)]
+
+
+def test_answers_by_profile(spark):
+    from rankweave.operators import ask
+
+    corpus = spark.createDataFrame([("c1", 1, 7, "章", "病假 薪酬 全薪"), ("c2", 2, 8, "", "年假 规定 天数"), ("c3", 3, 9, "", "培训"), ("c4", 4, 9, "", "奖惩")], "id string, pos int, page int, path string, text string")
+    lexical = lexical_ranker(build_index(corpus, han_bigrams=True))
+    requests = spark.createDataFrame([("a", "病假薪酬", "quality"), ("b", "年假天数", "baseline"), ("c", "zzz", "fast"), ("d", " ", "fast"), ("e", "年假", "fast")], "qid string, question string, profile string")
+
+    def client():
+        return lambda context, question, n: generate.Reply("见〔来源1〕" if "病假" in question else "见〔来源9〕", "stop", 3, 4)
+
+    got = {r.qid: r for r in ask.answer(requests, corpus, lexical=lexical, make_client=client, mode="bm25").collect()}
+    assert {q: r.status for q, r in got.items()} == {"a": "complete", "b": "complete", "c": "no_evidence", "d": "invalid", "e": "citation_failed"}
+    assert got["a"].total_tokens == 7 and got["a"].sources[0].id == "c1" and got["a"].sources[0].in_context and got["e"].answer is None and got["e"].sources
+    assert {r.status for r in ask.answer(requests.limit(1), corpus, lexical=lexical, mode="bm25").collect()} == {"not_configured"}
+    calls = spark.createDataFrame([("q", 1, n, "search") for n in range(5)] + [("q", 9, 0, "read")], "qid string, model_call int, seq int, tool string")
+    assert sorted((r.tool, r.seq) for r in ask.admitted(calls).where("admitted").collect()) == [("search", 0), ("search", 1), ("search", 2)]
+    fault = lambda tool, key, value: one(spark, ask.call_fault(F.lit(tool), F.create_map(F.lit(key), F.lit(value)), F.array(F.lit("c1"))), x=1)
+    assert [fault("search", "query", "x"), fault("read", "chunk_id", "c1"), fault("read", "chunk_id", "c9"), fault("fly", "query", "x"), fault("search", "query", " "), fault("search", "chunk_id", "x")] == [None, None, "unknown_source", "unknown_tool", "bad_value", "bad_arguments"]
+
+
+def test_red_team_screen_and_reports(spark):
+    from rankweave.sources import reports
+
+    cases = spark.createDataFrame([("r1", "high", "escalate", None, None), ("r2", "low", "refuse", None, ["密码"])], "rid string, risk string, expect string, must array<array<string>>, forbid_output array<string>")
+    answers = spark.createDataFrame([("r1", "请咨询HR〔第2页·章〕〔第9页〕", None, 1.0), ("r2", "无法提供，密码是1", None, 3.0)], "rid string, answer string, error string, seconds double")
+    rows = checks.red_team_screen(cases, answers, spark.createDataFrame([([2], "章")], "pages array<int>, path string"))
+    assert {r.rid: (r.passed, r.n_citations, r.bad_pages, r.bad_paths) for r in rows.collect()} == {"r1": (True, 2, 1, 0), "r2": (False, 0, 0, 0)}
+    summary = experiment.red_team_summary(rows)
+    assert {r.risk: r.pass_rate for r in summary.collect()} == {"high": 1.0, "low": 0.0}
+    text = reports.report("Red team", [("By risk", summary.select("risk", "n"))])
+    assert text.startswith("# Red team\n\n## By risk\n\n| risk | n |\n| --- | --- |\n")
+    lines = reports.smoke_lines(spark.createDataFrame([("a", True), ("b", False)], "qid string, passed boolean")).orderBy("line_no", "value").collect()
+    assert [r.value for r in lines] == ["FAIL b", "PASS a", "1/2 passed"]
