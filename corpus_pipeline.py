@@ -14,7 +14,7 @@ from rankweave.sources.tables import table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; those without letters or with a score under 0.5 go."""
+    """Documents whose language is known; those without letters or with a score under 0.3 go."""
     return keep_identified(docs, fit(docs))
 
 

@@ -161,7 +161,7 @@ def _keeper(model, text_at: int, least: float):
     return keep
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.3) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is known with a score of at least ``least``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the parameters of fit
     return docs.mapInArrow(_keeper(sent, docs.columns.index("text"), least), docs.schema)
