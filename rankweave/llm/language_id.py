@@ -19,6 +19,17 @@ LONGEST = 5
 _LETTERS = regex.compile(r"\p{L}+")
 
 
+class _Rows:
+    """Rows of one matrix by key."""
+
+    def __init__(self, index: dict[str, int], matrix: np.ndarray) -> None:
+        self.index, self.matrix = index, matrix
+
+    def get(self, key: str) -> np.ndarray | None:
+        at = self.index.get(key)
+        return None if at is None else self.matrix[at]
+
+
 class LanguageModel:
     """Per-language log frequencies of words and of n-grams of 1 to LONGEST characters.
 
@@ -26,7 +37,7 @@ class LanguageModel:
     score by their mean. A word in which not even a character is known tells nothing.
     """
 
-    def __init__(self, languages: list[str], words: dict[str, np.ndarray], grams: list[dict[str, np.ndarray]], kept: int = 500_000) -> None:
+    def __init__(self, languages: list[str], words: dict[str, np.ndarray] | _Rows, grams: list[dict[str, np.ndarray] | _Rows], kept: int = 200_000) -> None:
         self.languages, self.words, self.grams, self.kept = languages, words, grams, kept
         self._index: dict[str, int] = {}
         self._rows = np.zeros((1024, max(1, len(languages))))
@@ -49,6 +60,10 @@ class LanguageModel:
                 return sum(parts) / len(parts)
         return np.zeros(len(self.languages))
 
+    def forget(self) -> None:
+        """Drop what was remembered of the texts; what was learned stays."""
+        self._index, self._rows = {}, np.zeros((1024, max(1, len(self.languages))))
+
     def _add(self, words: Iterable[str]) -> None:
         for word in words:
             at = len(self._index)
@@ -84,13 +99,16 @@ def _frequent(counts: DataFrame, groups: list[str], item: str, limit: int, least
     return counts.join(F.broadcast(lowest), groups).where("n >= lowest").select(*groups, item, "n")
 
 
-def _table(rows: list, item: str, languages: list[str], totals: dict[str, float]) -> dict[str, np.ndarray]:
+def _table(rows: list, item: str, languages: list[str], totals: dict[str, float]) -> _Rows:
     at = {lang: k for k, lang in enumerate(languages)}
-    found: dict[str, np.ndarray] = {}
+    index: dict[str, int] = {}
+    for row in rows:
+        index.setdefault(row[item], len(index))
+    counts = np.zeros((len(index), len(languages)))
     for row in rows:
-        found.setdefault(row[item], np.zeros(len(languages)))[at[row["lang"]]] = row["n"]
-    sizes = np.array([totals.get(lang, 0.0) for lang in languages]) + len(found) * 0.5 + 1
-    return {k: np.log((v + 0.5) / sizes) for k, v in found.items()}
+        counts[index[row[item]], at[row["lang"]]] = row["n"]
+    sizes = np.array([totals.get(lang, 0.0) for lang in languages]) + len(index) * 0.5 + 1
+    return _Rows(index, np.log((counts + 0.5) / sizes).astype(np.float32))
 
 
 def _cuts(marked: Column, n: int) -> Column:
@@ -137,6 +155,7 @@ def _predictor(model):
             found = [own.predict(text.as_py()) for text in batch.column(1)]
             langs, scores = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+        own.forget()
 
     return predict
 
@@ -157,6 +176,7 @@ def _keeper(model, text_at: int, least: float):
         for batch in batches:
             found = [own.predict(text.as_py()) for text in batch.column(text_at)]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+        own.forget()
 
     return keep
 

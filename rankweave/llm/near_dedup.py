@@ -35,7 +35,7 @@ class _WordHashes(dict):
     """64-bit hashes of words; forgets all when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value
@@ -77,6 +77,7 @@ def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
             names=["doc_id", "n_shingles", "set_key", "sketch"],
         )
+    _HASHES.clear()
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -92,6 +93,7 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(values) and _set_key(values) == key:
                 found.append((doc_id, values.tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["id", "members"])
+    _HASHES.clear()
 
 
 def group_links(ids: list[int], sides: list[int], sets: list[np.ndarray], across: bool) -> list[tuple[int, int]]:

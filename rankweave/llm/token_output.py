@@ -237,7 +237,7 @@ class UnitEncoder:
     text is encoded whole. Two generations of at most ``kept`` words each are remembered.
     """
 
-    def __init__(self, path: str, kept: int = 600_000) -> None:
+    def __init__(self, path: str, kept: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
