@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -41,16 +43,20 @@ def chosen_paths(messages: DataFrame) -> DataFrame:
     nodes = nodes.join(known, ["tree", "parent"], "left_semi").unionByName(nodes.join(known, ["tree", "parent"], "left_anti").withColumn("parent", F.lit(None).cast(dict(nodes.dtypes)["parent"])))
     # up: the ancestor 2^k replies above; steps, total: of the nodes below it
     reach = checkpointed(nodes.select("tree", "node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("steps"), F.col("score").cast("decimal(38,6)").alias("total")))
-    jumps = [reach.where("up is not null").select("tree", "node", "up")]
+    # nodes that have reached their root rest; only the others are joined again
+    active, resting = reach.where("up is not null"), [reach.where("up is null")]
+    jumps = [active.select("tree", "node", "up")]
     size = reach.groupBy("tree").count().agg(F.max("count")).head()[0] or 0
-    while 1 << len(jumps) <= 2 * size and not jumps[-1].isEmpty():
-        above = reach.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("total").alias("total2"))
-        reach = reach.join(above, ["tree", "up"], "left").select(
-            "tree", "node", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), (F.col("total") + F.coalesce("total2", F.lit(0))).cast("decimal(38,6)").alias("total")
+    while 1 << len(jumps) <= 2 * size and not active.isEmpty():
+        known = reduce(DataFrame.unionByName, resting, active)
+        above = known.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("total").alias("total2"))
+        farther = active.join(above, ["tree", "up"]).select(
+            "tree", "node", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("total") + F.col("total2")).cast("decimal(38,6)").alias("total")
         )
-        reach = checkpointed(reach)
-        jumps.append(reach.where("up is not null").select("tree", "node", "up"))
-    rooted = reach.where("up is null")
+        farther = checkpointed(farther)
+        active, resting = farther.where("up is not null"), [*resting, farther.where("up is null")]
+        jumps.append(active.select("tree", "node", "up"))
+    rooted = reduce(DataFrame.unionByName, resting)
     leaves = rooted.join(nodes.select("tree", F.col("parent").alias("node")), ["tree", "node"], "left_anti")
     best = leaves.groupBy("tree").agg(F.min(F.struct((-F.col("total")).alias("a"), (-F.col("steps")).alias("b"), "node")).alias("best"))
     path = checkpointed(best.select("tree", "best.node"))
