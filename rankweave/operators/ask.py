@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,18 +33,19 @@ def packed(hits: DataFrame, prompt: str, budget: int = context.BUDGET) -> DataFr
 
 def answer(
     requests: DataFrame, corpus: DataFrame, dense: Ranker | None = None, lexical: Ranker | None = None, make_client: Callable[[], Client] | None = None,
-    mode: str = "rrf", k: int = fusion.FINAL_K, retrieval_only: bool = False,
+    mode: str = "rrf", k: int = fusion.FINAL_K, retrieval_only: bool = False, profiles: Sequence[str] = tuple(PROFILES),
 ) -> DataFrame:
     """Requests (qid, question, profile) -> qid, question, profile, answer, status, sources, usage, total_tokens.
 
     ``corpus`` has id, page, path and text. Invalid requests are status ``invalid``; without hits it is ``no_evidence``,
     without a client ``not_configured``, and an evidence answer that cites an unknown label is withheld as
-    ``citation_failed``. Sources stay whatever becomes of the answer; contexts and errors are not returned.
+    ``citation_failed``. Only ``profiles`` are planned for. Sources stay whatever becomes of the answer; contexts and errors are not returned.
     """
-    checked = valid_requests(requests, tuple(PROFILES))
+    checked = valid_requests(requests, profiles)
     none = F.lit(None).cast("string")
     result = checked.where(~F.col("valid")).select("qid", "question", "profile", none.alias("answer"), F.lit("invalid").alias("status"), F.array().cast("array<struct<rank:int,id:string,in_context:boolean>>").alias("sources"), F.array().cast(USAGE).alias("usage"))
-    for profile, (strategy, prompt, _) in PROFILES.items():
+    for profile in profiles:
+        strategy, prompt, _ = PROFILES[profile]
         own = checked.where(F.col("valid") & (F.col("profile") == profile)).select("qid", "question", "profile")
         hits = retrieve(own.select("qid", F.col("question").alias("text")), corpus, dense, lexical, mode, strategy, k)
         texts = packed(hits, prompt)
