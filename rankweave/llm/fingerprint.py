@@ -98,9 +98,18 @@ def neighbours(keys: DataFrame) -> DataFrame:
     return found.select("doc_id", "no", "n_chars", "next_id", "next_no", "before_id", "before_no", "lent")
 
 
-def _no(docs: DataFrame) -> DataFrame:
-    """Rows that share a doc_id get numbers by text."""
-    return docs.withColumn("no", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+def _key(doc_id: Column) -> Column:
+    """The id to deal by; rows without one have the least."""
+    return F.coalesce(doc_id, F.lit(-(1 << 63)))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Adds key, n_chars and no: rows that share a doc_id get numbers by length and hash of the text.
+
+    Where the text isn't used, it isn't dealt; where it is, the joins by key find it dealt already.
+    """
+    docs = docs.withColumns({"key": _key(F.col("doc_id")), "n_chars": F.length("text").cast("long"), "h": F.xxhash64("text")})
+    return docs.withColumn("no", F.row_number().over(Window.partitionBy("key").orderBy("n_chars", "h"))).drop("h")
 
 
 def _same(left: str, right: str) -> Column:
@@ -113,19 +122,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has the last floor(n_chars / 3) characters replaced by the first as many (or all) of the next document,
     in descending order of doc_id, the first after the last. A null text is empty; empty texts have a fingerprint of zeros.
-    Rows that share a doc_id follow one another by text; a row without doc_id comes last. A document alone is its own next.
+    Rows that share a doc_id follow one another by length of the text; a row without doc_id comes last. A document alone is its own next.
     Other columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    key = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
-    texts = _no(docs).withColumn("key", key(F.col("doc_id")))
-    near = stored(neighbours(texts.select("doc_id", "no", F.length("text").cast("long").alias("n_chars"))), "neighbours")
-    own = near.withColumn("key", key(F.col("doc_id")))
-    lent = texts.alias("t").join(own.alias("n"), _same("t", "n")).select(key(F.col("before_id")).alias("key"), F.col("before_no").alias("no"), F.expr("left(t.text, cast(lent as int))").alias("part"))
+    near = stored(neighbours(_numbered(docs).select("doc_id", "no", "n_chars")), "neighbours")
+    texts = _numbered(docs).select("key", "no", "text")
+    own = near.withColumn("key", _key(F.col("doc_id")))
+    lent = texts.alias("t").join(own.alias("n"), _same("t", "n")).select(_key(F.col("before_id")).alias("key"), F.col("before_no").alias("no"), F.expr("left(t.text, cast(lent as int))").alias("part"))
     pair = texts.alias("t").join(own.alias("n"), _same("t", "n")).select("t.key", "t.no", "t.text", "n_chars", "next_id", "next_no").alias("a")
     pair = pair.join(lent.alias("b"), _same("a", "b"))
     edited = F.concat(F.expr("left(a.text, cast(n_chars - floor(n_chars / 3) as int))"), F.col("part"))
-    made = pair.select("a.key", "a.no", "n_chars", key(F.col("next_id")).alias("next_key"), "next_no", F.col("a.text").alias("text"), edited.alias("edited"))
+    made = pair.select("a.key", "a.no", "n_chars", _key(F.col("next_id")).alias("next_key"), "next_no", F.col("a.text").alias("text"), edited.alias("edited"))
     made = made.select("key", "no", "n_chars", "next_key", "next_no", fingerprint(F.col("text")).alias("own"), fingerprint(F.col("edited")).alias("changed"), F.sha2("edited", 256).alias("edited_sha256"))
     made = stored(made, "fingerprints")
     follower = made.select(F.col("key").alias("next_key"), F.col("no").alias("next_no"), F.col("own").alias("next"))
