@@ -11,6 +11,7 @@ from pyspark.sql import Window
 from rankweave.operators import context, fusion
 from rankweave.operators.generate import PROFILES, USAGE, Client, generate, public_answer, total_tokens
 from rankweave.operators.retrieve import Ranker, retrieve, valid_requests
+from rankweave.session import checkpointed
 
 #: Limits of a tool loop for one question, and the argument each tool takes.
 LIMITS = {"search": 3, "read": 2}
@@ -47,7 +48,7 @@ def answer(
     for profile in profiles:
         strategy, prompt, _ = PROFILES[profile]
         own = checked.where(F.col("valid") & (F.col("profile") == profile)).select("qid", "question", "profile")
-        hits = retrieve(own.select("qid", F.col("question").alias("text")), corpus, dense, lexical, mode, strategy, k)
+        hits = checkpointed(retrieve(own.select("qid", F.col("question").alias("text")), corpus, dense, lexical, mode, strategy, k))
         texts = packed(hits, prompt)
         known = hits.join(texts.select("qid", "source_map"), "qid", "left").withColumn("in_context", F.array_contains(F.map_values("source_map"), F.col("id").cast("string")))
         source = F.struct(F.col("rank").cast("int").alias("rank"), F.col("id").cast("string").alias("id"), F.coalesce("in_context", F.lit(False)).alias("in_context"))

@@ -11,6 +11,7 @@ from pyspark.sql import Window
 from rankweave.functions.text import strip
 from rankweave.operators import fusion
 from rankweave.operators.lexical import LexicalIndex, bm25_rank
+from rankweave.session import checkpointed
 
 Ranker = Callable[[DataFrame], DataFrame]
 
@@ -53,6 +54,7 @@ def retrieve(
         ranks = own if ranks is None else ranks.unionByName(own)
     if ranks is None:
         raise ValueError(f"mode {mode!r} needs a ranker")
+    ranks = checkpointed(ranks)  # a few dozen rows for each query, read several times from here on
     fused = fusion.fuse(ranks)
     counted = fused.withColumn("candidate_count", F.count("*").over(Window.partitionBy("qid")))
     if strategy in ("coverage", "guarded"):
