@@ -114,11 +114,13 @@ class LicenseScanner:
         """
         if not text:
             return []
-        lower = text.lower() if len(text.lower()) == len(text) else text
-        spans = [m.span() for m in _WORD.finditer(lower)] if self._may_match(lower) else []
+        # places are those of the text: where lower case is longer (capital dotted I), words are cut before
+        lower = text.lower()
+        shown = lower if len(lower) == len(text) else text
+        spans = [m.span() for m in _WORD.finditer(shown)] if self._may_match(shown) else []
         if not spans:
             return []
-        codes = np.array([self.vocabulary.get(lower[s:e], -1) for s, e in spans])
+        codes = np.array([self.vocabulary.get(shown[s:e].lower(), -1) for s, e in spans])
         best: dict[str, tuple[float, int, int, int]] = {}
         for t, own in enumerate(self.codes):
             n = len(own)
@@ -131,9 +133,9 @@ class LicenseScanner:
                     best[self.names[t]] = max(found, best.get(self.names[t], found))
         return [(name, share, -start, end) for name, (share, _, start, end) in sorted(best.items())]
 
-    def _may_match(self, lower: str) -> bool:
+    def _may_match(self, text: str) -> bool:
         present = np.zeros(len(self.vocabulary))
-        present[[self.vocabulary[w] for w in set(_WORD.findall(lower)) & self.vocabulary.keys()]] = 1
+        present[[self.vocabulary[w] for w in {w.lower() for w in set(_WORD.findall(text))} & self.vocabulary.keys()]] = 1
         return bool((self.weight @ present >= self.need).any())
 
     def _windows(self, codes: np.ndarray, t: int) -> list[int]:

@@ -71,3 +71,11 @@ def test_query_finds_the_planted_lines(spark):
     lines = {"Apache-2.0": "Licensed under the Apache License, Version 2.0.", "MIT": "Released under the MIT License.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0."}
     expected = {(r.doc_id, n) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() for n, line in lines.items() if re.search(re.escape(line), r.text or "")}
     assert {(r.doc_id, r.license) for r in ls.op2_license_scan(spark, sf).collect()} == expected
+
+
+def test_a_capital_dotted_i_changes_nothing_else():
+    notice = "Released under the MIT License."
+    for text in (f"\u0130stanbul. {notice}", f"{notice} \u0130stanbul"):
+        at = text.index(notice)
+        assert ls.LicenseScanner().scan(text) == [("MIT", 1.0, at, at + len(notice) - 1)]
+    assert ls.LicenseScanner([("city", "\u0130stanbul Belediyesi")]).scan("\u0130STANBUL BELEDIYESI") == [("city", 1.0, 0, 19)]
