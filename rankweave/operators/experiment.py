@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from rankweave.session import drop_stored, stored
+
 
 def latest(rows: DataFrame, keys: Sequence[str], seq: Sequence[str]) -> DataFrame:
     """The last row of each key by ``seq``: a maximum per key, combined before the shuffle."""
@@ -17,7 +19,7 @@ def latest(rows: DataFrame, keys: Sequence[str], seq: Sequence[str]) -> DataFram
 
 
 def upper_median(value: str) -> Column:
-    """The element at half the count, rounded down, of the sorted values."""
+    """The element at half the count, rounded down, of the sorted values; for small groups, as each is an array."""
     items = F.array_sort(F.collect_list(value))
     return F.get(items, F.floor(F.size(items) / 2).cast("int"))
 
@@ -49,8 +51,35 @@ def strict_accuracy(correct: str, whole: int) -> Column:
     return F.when(F.count(correct) == whole, F.count_if(F.col(correct)) / F.lit(float(whole)))
 
 
+def ranked_values(rows: DataFrame, by: Sequence[str], value: str, places: dict[str, Column]) -> DataFrame:
+    """``by``, n (known values of the group) and for each name the value at its place (from 0, by ``n``) in rising order.
+
+    Equal values are counted first; the counts are added up by ranges of groups and values, so no task or row holds a
+    group. Null keys are a group; unknown values are left out.
+    """
+    keyed = rows.where(F.col(value).isNotNull()).groupBy(F.struct(*by).alias("key"), F.col(value).alias("value")).agg(F.count("*").alias("times"))
+    # range numbers are kept with the rows, so they are the same each time
+    counts = stored(keyed.repartitionByRange("key", "value").withColumn("range", F.spark_partition_id()), "counts")
+    totals = counts.groupBy("key", "range").agg(F.sum("times").alias("times"))
+    of_key, earlier = Window.partitionBy("key"), Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("key", "range", F.sum("times").over(of_key).alias("n"), F.coalesce(F.sum("times").over(earlier), F.lit(0)).alias("of_ranges"))
+    own = Window.partitionBy("key", "range").orderBy("value")
+    placed = counts.withColumn("upto", F.sum("times").over(own)).alias("c").join(F.broadcast(totals).alias("t"), F.col("c.key").eqNullSafe(F.col("t.key")) & (F.col("c.range") == F.col("t.range")))
+    placed = placed.select("c.key", "c.value", "c.times", "t.n", (F.col("upto") + F.col("of_ranges")).alias("upto"))
+    at = lambda place: F.max(F.when((place < F.col("upto")) & (place >= F.col("upto") - F.col("times")), F.col("value")))
+    found = stored(placed.groupBy("key").agg(F.max("n").alias("n"), *[at(place).alias(name) for name, place in places.items()]), "ranked")
+    drop_stored(counts)
+    return found.select("key.*", "n", *places)
+
+
+def _middle(n: str) -> Column:
+    return F.floor(F.expr(n) / 2)
+
+
 def latency_summary(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    return rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), interpolated_median(value).alias("median"), upper_median(value).alias("upper_median"), nearest_rank(value).alias("p95"))
+    """``by``, n, median (between the middle two), upper_median and p95 (nearest rank) of the known values."""
+    found = ranked_values(rows, by, value, {"lower": _middle("n - 1"), "upper_median": _middle("n"), "p95": F.ceil(F.col("n") * 0.95) - 1})
+    return found.select(*by, "n", ((F.col("lower") + F.col("upper_median")) / 2).alias("median"), "upper_median", "p95")
 
 
 def complete_everywhere(rows: DataFrame, key: str, profile: str, complete: Column) -> DataFrame:
@@ -78,10 +107,12 @@ def variant_summary(rows: DataFrame, by: str = "variant") -> DataFrame:
 
 def red_team_summary(rows: DataFrame) -> DataFrame:
     """By risk, of rows (risk, passed, n_citations, bad_pages, bad_paths, error, seconds)."""
-    return rows.groupBy("risk").agg(
+    counted = rows.groupBy("risk").agg(
         F.count("*").alias("n"), F.count_if(F.col("passed")).alias("passed"), share_passed("passed").alias("pass_rate"), F.sum("n_citations").alias("citations"), F.sum("bad_pages").alias("bad_pages"),
-        F.sum("bad_paths").alias("bad_paths"), F.count("error").alias("errors"), upper_median("seconds").alias("median_seconds"),
+        F.sum("bad_paths").alias("bad_paths"), F.count("error").alias("errors"),
     )
+    medians = ranked_values(rows, ["risk"], "seconds", {"median_seconds": _middle("n")}).select(F.col("risk").alias("of"), "median_seconds")
+    return counted.join(medians, F.col("risk").eqNullSafe(F.col("of")), "left").drop("of")
 
 
 def tasks(cases: DataFrame, variants: Sequence[str]) -> DataFrame:

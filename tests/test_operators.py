@@ -187,3 +187,22 @@ def test_red_team_screen_and_reports(spark):
     assert text.startswith("# Red team\n\n## By risk\n\n| risk | n |\n| --- | --- |\n")
     lines = reports.smoke_lines(spark.createDataFrame([("a", True), ("b", False)], "qid string, passed boolean")).orderBy("line_no", "value").collect()
     assert [r.value for r in lines] == ["FAIL b", "PASS a", "1/2 passed"]
+
+
+def test_summaries_by_group_make_no_array_or_map_of_a_group(spark):
+    import random
+
+    rnd = random.Random(3)
+    data = [(g, None if rnd.random() < 0.1 else float(rnd.randrange(-20, 60))) for g, size in (("a", 301), ("b", 40), (None, 7), ("c", 1)) for _ in range(size)] + [("nothing known", None)]
+    rows = spark.createDataFrame(data, "g string, s double").repartition(5)
+    known = {g: sorted(s for h, s in data if h == g and s is not None) for g, _ in data}
+    shown = experiment.latency_summary(rows, ["g"], "s")
+    expected = {g: (len(v), (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2, v[len(v) // 2], v[-(-len(v) * 95 // 100) - 1]) for g, v in known.items() if v}
+    assert {r.g: (r.n, r.median, r.upper_median, r.p95) for r in shown.collect()} == expected
+    screened = rows.selectExpr("g risk", "true passed", "0 n_citations", "0 bad_pages", "0 bad_paths", "string(null) error", "s seconds")
+    summary = experiment.red_team_summary(screened)
+    assert {r.risk: r.median_seconds for r in summary.collect()} == {g: v[len(v) // 2] if v else None for g, v in known.items()}
+    assert summary.columns[0] == "risk" and summary.columns[-1] == "median_seconds"
+    for frame in (shown, summary):
+        plan = frame._jdf.queryExecution().toString()
+        assert "collect_list" not in plan and "percentile" not in plan
