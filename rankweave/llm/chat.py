@@ -36,8 +36,18 @@ def chosen_paths(messages: DataFrame) -> DataFrame:
     ``messages`` has tree, node (unique in the tree), parent (null or unknown: a root) and score. Self-joins that double
     the distance each time give every node its root, its depth and the sum of scores from the root on; of the leaves the
     one with the highest sum wins, then the deeper, then the one with the smaller node. The path from it to its root is
-    marked by the same jumps backwards. Messages on a cycle reach no root and stand on no path.
+    marked by the same jumps backwards. Messages on a cycle reach no root and stand on no path. Messages of a null tree
+    are one tree.
     """
+    return _chosen(_keyed(messages)).withColumn("tree", F.col("tree.tree"))
+
+
+def _keyed(messages: DataFrame) -> DataFrame:
+    """The tree in a struct, which joins to its like when it holds null."""
+    return messages.withColumn("tree", F.struct("tree"))
+
+
+def _chosen(messages: DataFrame) -> DataFrame:
     nodes = messages.select("tree", "node", "parent", F.coalesce(F.col("score"), F.lit(0.0)).cast("decimal(28,6)").alias("score"))
     known = nodes.select("tree", F.col("node").alias("parent"))
     nodes = nodes.join(known, ["tree", "parent"], "left_semi").unionByName(nodes.join(known, ["tree", "parent"], "left_anti").withColumn("parent", F.lit(None).cast(dict(nodes.dtypes)["parent"])))
@@ -70,9 +80,11 @@ def format_paths(messages: DataFrame) -> DataFrame:
 
     ``formatted`` is the chosen path in reply order, turn by turn; null roles and texts are empty. ``loss`` lists start and
     length, in characters of ``formatted``, of the (escaped) texts of role ``assistant``, in order. Messages that share
-    tree and node all stand at its place, by role and text. Trees without a root give no row; an empty table gives none.
+    tree and node all stand at its place, by role and text. Trees without a root give no row; messages of a null tree are one
+    tree; an empty table gives none.
     """
-    paths = chosen_paths(messages.dropDuplicates(["tree", "node"]))
+    messages = _keyed(messages)
+    paths = _chosen(messages.dropDuplicates(["tree", "node"]))
     turn = F.struct("depth", F.coalesce("role", F.lit("")).alias("role"), escaped(F.col("role")).alias("shown"), escaped(F.col("text")).alias("text"))
     turns = messages.join(paths, ["tree", "node"]).groupBy("tree").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     whole = lambda t: F.concat(F.lit(START), t["shown"], F.lit(MIDDLE), t["text"], F.lit(END))
@@ -86,7 +98,7 @@ def format_paths(messages: DataFrame) -> DataFrame:
         ),
         lambda s: s["loss"],
     )
-    return turns.select("tree", F.size("turns").cast("long").alias("n_turns"), F.array_join(F.transform("turns", whole), "").alias("formatted"), at.alias("loss"))
+    return turns.select("tree.tree", F.size("turns").cast("long").alias("n_turns"), F.array_join(F.transform("turns", whole), "").alias("formatted"), at.alias("loss"))
 
 
 def read_back(conversations: DataFrame) -> DataFrame:

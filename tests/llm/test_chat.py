@@ -70,3 +70,19 @@ def test_query_against_sql(spark):
 
 def test_empty_table(spark):
     assert chat.format_paths(spark.createDataFrame([], T.StructType.fromDDL(SCHEMA))).count() == 0
+
+
+def test_messages_of_a_null_tree_are_one_tree(spark):
+    rows = [(None, 1, None, 0.0, "user", "hi"), (None, 2, 1, 1.0, "assistant", "yes"), (None, 3, 1, 0.0, "assistant", "no"), (5, 1, None, 0.0, "user", "other")]
+    messages = spark.createDataFrame(rows, "tree long, node long, parent long, score double, role string, text string")
+    assert sorted(map(str, ((r.tree, r.node, r.depth) for r in chat.chosen_paths(messages).collect()))) == ["(5, 1, 1)", "(None, 1, 1)", "(None, 2, 2)"]
+    got = {r.tree: (r.n_turns, r.loss_text) for r in chat.read_back(chat.format_paths(messages)).collect()}
+    assert got == {None: (2, "yes"), 5: (1, "")}
+
+
+def test_query_and_sql_agree_on_a_null_conversation(spark, tmp_path):
+    rows = [(None, 0, "user", "a [b"), (None, 1, "assistant", "c"), (1, 0, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    assert sorted(map(str, map(tuple, chat.op9_chat_formatting(spark, str(tmp_path)).collect()))) == sorted(map(str, con.execute(chat.OP9_SQL).fetchall()))
