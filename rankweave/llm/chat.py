@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from rankweave.session import checkpointed
+from rankweave.session import checkpointed, stored
 from rankweave.sources.tables import table
 
 #: The template: a turn is START role MIDDLE text END; fixed values of this format.
@@ -39,40 +37,27 @@ def chosen_paths(messages: DataFrame) -> DataFrame:
     marked by the same jumps backwards. Messages on a cycle reach no root and stand on no path. Messages of a null tree
     are one tree.
     """
-    return _chosen(_keyed(messages)).withColumn("tree", F.col("tree.tree"))
-
-
-def _keyed(messages: DataFrame) -> DataFrame:
-    """The tree in a struct, which joins to its like when it holds null."""
-    return messages.withColumn("tree", F.struct("tree"))
-
-
-def _chosen(messages: DataFrame) -> DataFrame:
-    nodes = messages.select("tree", "node", "parent", F.coalesce(F.col("score"), F.lit(0.0)).cast("decimal(28,6)").alias("score"))
-    known = nodes.select("tree", F.col("node").alias("parent"))
-    nodes = nodes.join(known, ["tree", "parent"], "left_semi").unionByName(nodes.join(known, ["tree", "parent"], "left_anti").withColumn("parent", F.lit(None).cast(dict(nodes.dtypes)["parent"])))
-    # up: the ancestor 2^k replies above; steps, total: of the nodes below it
-    reach = checkpointed(nodes.select("tree", "node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("steps"), F.col("score").cast("decimal(38,6)").alias("total")))
-    # nodes that have reached their root rest; only the others are joined again
-    active, resting = reach.where("up is not null"), [reach.where("up is null")]
-    jumps = [active.select("tree", "node", "up")]
-    size = reach.groupBy("tree").count().agg(F.max("count")).head()[0] or 0
-    while 1 << len(jumps) <= 2 * size and not active.isEmpty():
-        known = reduce(DataFrame.unionByName, resting, active)
-        above = known.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("total").alias("total2"))
-        farther = active.join(above, ["tree", "up"]).select(
-            "tree", "node", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("total") + F.col("total2")).cast("decimal(38,6)").alias("total")
-        )
-        farther = checkpointed(farther)
-        active, resting = farther.where("up is not null"), [*resting, farther.where("up is null")]
-        jumps.append(active.select("tree", "node", "up"))
-    rooted = reduce(DataFrame.unionByName, resting)
-    leaves = rooted.join(nodes.select("tree", F.col("parent").alias("node")), ["tree", "node"], "left_anti")
-    best = leaves.groupBy("tree").agg(F.min(F.struct((-F.col("total")).alias("a"), (-F.col("steps")).alias("b"), "node")).alias("best"))
-    path = checkpointed(best.select("tree", "best.node"))
-    for jump in reversed(jumps):
-        path = checkpointed(path.unionByName(path.join(jump, ["tree", "node"]).select("tree", F.col("up").alias("node"))).distinct())
-    return path.join(rooted, ["tree", "node"]).select("tree", "node", F.col("steps").alias("depth"))
+    nodes = messages.select("tree", "node", "parent", F.coalesce(F.col("score"), F.lit(0.0)).cast("decimal(38,6)").alias("score"))
+    nodes = checkpointed(nodes.withColumn("id", F.monotonically_increasing_id()))
+    # each node by one number from here on; up: the ancestor 2^k replies above; steps, total: of the nodes below it
+    parents = nodes.select(F.col("tree").alias("of"), F.col("node").alias("parent"), F.col("id").alias("up"))
+    reach = nodes.alias("n").join(parents.alias("p"), F.col("tree").eqNullSafe(F.col("of")) & (F.col("n.parent") == F.col("p.parent")), "left")
+    reach = checkpointed(reach.select("id", "up", F.lit(1).cast("long").alias("steps"), F.col("score").alias("total")))
+    jumps, still, before = [], reach.where("up is not null").count(), -1
+    first = reach
+    while still and still != before:  # each round some node arrives, if any can: what does not lies on a cycle or hangs on one
+        jumps.append(reach.where("up is not null").select("id", "up"))
+        above = reach.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("total").alias("total2"))
+        total = (F.col("total") + F.coalesce("total2", F.lit(0).cast("decimal(38,6)"))).cast("decimal(38,6)")
+        reach = checkpointed(reach.join(above, "up", "left").select("id", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), total.alias("total")))
+        before, still = still, reach.where("up is not null").count()
+    rooted = reach.where("up is null").select("id", "steps", "total")
+    leaves = nodes.select("id", "tree", "node").join(first.select(F.col("up").alias("id")), "id", "left_anti").join(rooted, "id")
+    best = leaves.groupBy("tree").agg(F.min(F.struct((-F.col("total")).alias("a"), (-F.col("steps")).alias("b"), "node", "id")).alias("best"))
+    path = checkpointed(best.select("best.id"))
+    for jump in reversed(jumps):  # from the longest on: every ancestor is met once
+        path = checkpointed(path.unionByName(path.join(jump, "id").select(F.col("up").alias("id"))))
+    return path.join(rooted, "id").join(nodes, "id").select("tree", "node", F.col("steps").alias("depth"))
 
 
 def format_paths(messages: DataFrame) -> DataFrame:
@@ -83,8 +68,8 @@ def format_paths(messages: DataFrame) -> DataFrame:
     tree and node all stand at its place, by role and text. Trees without a root give no row; messages of a null tree are one
     tree; an empty table gives none.
     """
-    messages = _keyed(messages)
-    paths = _chosen(messages.dropDuplicates(["tree", "node"]))
+    paths = chosen_paths(messages.dropDuplicates(["tree", "node"])).select(F.struct("tree").alias("tree"), "node", "depth")
+    messages = messages.withColumn("tree", F.struct("tree"))  # joins to its like when it holds null
     turn = F.struct("depth", F.coalesce("role", F.lit("")).alias("role"), escaped(F.col("role")).alias("shown"), escaped(F.col("text")).alias("text"))
     turns = messages.join(paths, ["tree", "node"]).groupBy("tree").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     whole = lambda t: F.concat(F.lit(START), t["shown"], F.lit(MIDDLE), t["text"], F.lit(END))
@@ -120,6 +105,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     # rows that share a turn follow one another by role and text
     node = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
     numbered = rows.withColumn("node", node).select(F.col("conv_id").alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(1.0).alias("score"), "role", "text")
+    numbered = stored(numbered, "messages")
     found = read_back(format_paths(numbered))
     digest = F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256)
     return found.select(
