@@ -19,7 +19,9 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,22 @@ BLOCK = 1 << 16
 SEGMENT = 1 << 22
 END_ID = 0
 
-#: A word of letters with marks after it, which the pre-tokenizer parts there.
-_MARKED = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@]+)")
+#: White space other than blanks and line feeds, and what one of the pattern languages may take for it.
+_OTHER_SPACE = "\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: A blank and a word, or white space: all of it at the end, else all but its last character, or that alone. Other white space is left out.
+_UNIT = re.compile(f" ?[^ \n{_OTHER_SPACE}]+|[ \n]+(?![^ \n])|[ \n]")
+#: A word of letters and the marks after it, which the pre-tokenizer parts there.
+_MARKED = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@]*)")
+
+
+def _byte_names() -> dict[int, str]:
+    """What byte-level models call each byte: printing ones by their character, the others by those from U+0100 on."""
+    printing = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printing]
+    return {b: chr(b) for b in printing} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_BYTES = _byte_names()
 
 
 # ---------------------------------------------------------------- coder
@@ -228,72 +244,70 @@ class TokenFile:
 # ---------------------------------------------------------------- tokens
 
 
+class _Units(dict):
+    """The ids of units as bytes; what is not known is encoded."""
+
+    def __init__(self, tokenizer, kind: str) -> None:
+        self.tokenizer, self.model, self.kind = tokenizer, tokenizer.model, kind
+
+    def ids(self, text: str) -> bytes:
+        return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def word(self, word: str) -> bytes:
+        """Of letters alone, perhaps after a blank: one piece for the pre-tokenizer, so the library's model gets it at once."""
+        shown = word.replace(" ", "Ġ") if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+        return array(self.kind, [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def __missing__(self, unit: str) -> bytes:
+        if m := _MARKED.fullmatch(unit):
+            letters, marks = m.groups()
+            found = self[letters] + self[marks] if marks else self.word(letters)
+        else:
+            found = self.ids(unit)
+        self[unit] = found
+        return found
+
+    def forget(self, kept: int) -> None:
+        """Keep the units that came first: common ones come early."""
+        first = list(islice(self.items(), kept))
+        self.clear()
+        self.update(first)
+
+
 class UnitEncoder:
-    """Ids of whole texts by a byte-level BPE tokenizer, word by word.
+    """Ids of whole texts, as the tokenizer gives them for the whole text, special tokens in a text included.
 
-    Its pre-tokenizer starts a new piece at a single space between two other characters (the space goes with what
-    follows) and on both sides of a single line feed, and it parts letters from the marks after them. So the ids of a text
-    with no other white space are those of its words in order, and a word that comes again is not encoded again; any other
-    text is encoded whole. Two generations of at most ``kept`` words each are remembered.
+    A byte-level pre-tokenizer with its own pattern never joins what stands on both sides of white space, and puts a single
+    blank before a word to that word. So where the tokenizer file says that this is its only pre-tokenizer, the ids of a
+    text whose white space is blanks and line feeds are those of its units in order, and a unit that comes again is not
+    encoded again. All else is encoded whole: texts with other white space or with the text of an added token in them, and
+    every text of another kind of tokenizer. At most about ``kept`` units are remembered between texts.
     """
 
-    def __init__(self, path: str, kept: int = 500_000) -> None:
+    def __init__(self, path: str, kept: int = 800_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.kept = kept
-        self.after_space: tuple[dict, dict] = ({}, {})
-        self.at_start: tuple[dict, dict] = ({}, {})
-        self.marks: dict[str, bytes] = {}
-        self.feed = self._library(["\n"])[0]
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in found]
-
-    def _learn(self, words: set[str], known: tuple[dict, dict], before: str) -> None:
-        """Make sure that all ``words`` are among the young."""
-        young, old = known
-        new = words.difference(young)
-        if not new:
-            return
-        if len(young) + len(new) > self.kept:
-            old.clear()
-            old.update(young)
-            young.clear()
-            new = words
-        unseen, marked = set(), []
-        for word in new:
-            if (ids := old.get(word)) is not None:
-                young[word] = ids
-            elif m := _MARKED.fullmatch(word):
-                marked.append((word, *m.groups()))
-                if m[1] not in young:
-                    unseen.add(m[1])
-            else:
-                unseen.add(word)
-        unseen = list(unseen)
-        young.update(zip(unseen, self._library([before + x for x in unseen]), strict=True))
-        for word, letters, marks in marked:
-            if marks not in self.marks:
-                self.marks[marks] = self._library([marks])[0]
-            young[word] = young[letters] + self.marks[marks]
+        self.dtype, kind = (np.dtype("<u2"), "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (np.dtype("<u4"), "I")
+        self.units, self.kept = _Units(self.tokenizer, kind), kept
+        plan = json.loads(self.tokenizer.to_str())
+        cutter, model = plan.get("pre_tokenizer") or {}, plan.get("model") or {}
+        self.by_units = (
+            cutter.get("type") == "ByteLevel" and cutter.get("use_regex") is True and cutter.get("add_prefix_space") is False and model.get("type") == "BPE"
+            and not any(plan.get(k) for k in ("normalizer", "truncation", "padding")) and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+        )
+        self.added = [t["content"] for t in plan.get("added_tokens") or ()]
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, self.dtype)
-        lines = [line.split(" ") for line in text.split("\n")]
-        if any("" in line for line in lines) or len(text.split()) != sum(map(len, lines)):
-            return np.frombuffer(self._library([text])[0], self.dtype)
-        firsts = [line[0] for line in lines]
-        for line in lines:
-            del line[0]
-        self._learn(set(firsts), self.at_start, "")
-        self._learn(set().union(*lines), self.after_space, " ")
-        start, after = self.at_start[0], self.after_space[0].__getitem__
-        return np.frombuffer(self.feed.join([start[first] + b"".join(map(after, line)) for first, line in zip(firsts, lines, strict=True)]), self.dtype)
+        if self.by_units and not any(x in text for x in self.added):
+            own = _UNIT.findall(text)
+            if "".join(own) == text:
+                if len(self.units) > self.kept:
+                    self.units.forget(self.kept // 2)
+                return np.frombuffer(b"".join(map(self.units.__getitem__, own)), self.dtype)
+        return np.frombuffer(self.units.ids(text), self.dtype)
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
