@@ -14,6 +14,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
+def small_batches(df: DataFrame, size: int = 16 << 20) -> DataFrame:
+    """``df``, after bounding the bytes that go to a Python task at once: a few thousand long texts fill a worker otherwise."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    return df
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; none for null."""
     parts = F.split(F.coalesce(text, F.lit("")), WORD_GAP)

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankweave.llm.common import small_batches
 from rankweave.sources.tables import spread, table
 
 #: Characters of a q-gram; edits allowed as a share of the passage.
@@ -218,7 +219,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     in bounded blocks of passages. Null or empty texts and passages match nothing; equal rows each have their results; of
     equally good places the first counts. Empty tables give no rows; other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     context, result = docs.sparkSession.sparkContext, None
     for index in _indexes(benchmark):
         found = docs.mapInArrow(_finder(context.broadcast(index)), "doc_id long, item_id long, start long, end long, edits long")
@@ -236,7 +237,7 @@ def _keeper(index, text_at: int):
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no benchmark passage."""
-    context = docs.sparkSession.sparkContext
+    context = small_batches(docs).sparkSession.sparkContext
     for index in _indexes(benchmark):
         docs = docs.mapInArrow(_keeper(context.broadcast(index), docs.columns.index("text")), docs.schema)
     return docs

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from rankweave.llm.common import small_batches
 from rankweave.session import drop_stored, stored
 from rankweave.sources.tables import spread, table
 
@@ -167,7 +168,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the parameters of fit
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
-    return rows.mapInArrow(_predictor(sent), "doc_id long, held_out boolean, lang_pred string, score double")
+    return small_batches(rows).mapInArrow(_predictor(sent), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def _keeper(model, text_at: int, least: float):
@@ -184,7 +185,7 @@ def _keeper(model, text_at: int, least: float):
 def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.3) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is known with a score of at least ``least``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the parameters of fit
-    return docs.mapInArrow(_keeper(sent, docs.columns.index("text"), least), docs.schema)
+    return small_batches(docs).mapInArrow(_keeper(sent, docs.columns.index("text"), least), docs.schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

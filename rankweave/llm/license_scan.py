@@ -12,6 +12,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankweave.llm.common import small_batches
 from rankweave.sources.tables import spread, table
 
 #: Share of a template's words that a notice must cover.
@@ -165,7 +166,7 @@ def scan_licenses(docs: DataFrame, templates: Iterable[tuple[str, str]] = TEMPLA
     order. Of equal coverage the longer template counts, then the earlier place. Whole texts are scanned; null or empty
     ones hold nothing; equal rows each have their results; other columns are ignored; an empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return docs.mapInArrow(_scan(tuple(templates), coverage), "doc_id long, license string, coverage double, start long, end long")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from rankweave.llm.common import small_batches
 from rankweave.llm.components import components
 from rankweave.session import drop_stored, stored
 from rankweave.sources.tables import spread, table
@@ -22,8 +23,8 @@ WORDS, KEPT, PERCENT = 5, 64, 75
 #: Fewest values that the sketches of two linked documents share when sketches are not whole sets. The shared part of the
 #: union's 64 smallest values has mean 48 or more; fewer than 28 has a chance of about 1e-8.
 SHARED = 28
-#: Members of a list that are compared in one task.
-BLOCK = 4096
+#: Bytes of the sets of a list that are compared at once.
+BLOCK = 16 << 20
 #: Most ids that are broadcast (about 100 MB).
 SENT = 1_000_000
 
@@ -96,12 +97,34 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     _HASHES.clear()
 
 
-def group_links(ids: list[int], sides: list[int], sets: list[np.ndarray], across: bool) -> list[tuple[int, int]]:
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets share PERCENT of their union; sets whose sketches make that unlikely are not merged.
+
+    The union-sketch estimate is the shared values over all values up to the nearer sketch's end. It may lie 5.6 deviations
+    under the threshold.
+    """
+    n, m = len(a), len(b)
+    if 100 * min(n, m) < PERCENT * max(n, m):
+        return False
+    top = np.iinfo(np.int64).max
+    end = min(a[KEPT - 1] if n > KEPT else top, b[KEPT - 1] if m > KEPT else top)
+    p, q = a[:KEPT], b[:KEPT]
+    p, q = p[: np.searchsorted(p, end, "right")], q[: np.searchsorted(q, end, "right")]
+    shared = int(np.isin(p, q, assume_unique=True).sum())
+    known = len(p) + len(q) - shared
+    if shared < PERCENT / 100 * known - 5.6 * np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) * known):
+        return False
+    at = np.minimum(np.searchsorted(b, a), m - 1)
+    both = int((b[at] == a).sum())
+    return 100 * both >= PERCENT * (n + m - both)
+
+
+def group_links(ids: list[int], sides: list[int], sets: list[np.ndarray], across: bool, labels: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that join the members of one list as exact Jaccard does: a spanning part of them, no pair left unexamined.
 
-    Members already joined are not compared again. Of the rest, those whose union-sketch estimate (shared sketch values
-    over all values up to the nearer sketch's end) lies within 5.6 deviations of the threshold or above are verified on
-    full sets. ``across``: only pairs of different sides.
+    Members already joined (of one label, if ``labels`` are given) are not compared again. Of the rest, those whose
+    union-sketch estimate (as in :func:`similar`) allows it are verified on full sets. ``across``: only pairs of different
+    sides.
     """
     m = len(ids)
     size = np.array([len(x) for x in sets])
@@ -116,7 +139,7 @@ def group_links(ids: list[int], sides: list[int], sets: list[np.ndarray], across
         value[r, : in_sketch[r]] = sets[r][:KEPT]
     ends = np.where(size > KEPT, value[:, -1], top)
     side = np.array(sides)
-    label = np.arange(m)
+    label = np.arange(m) if labels is None else np.unique(labels, return_inverse=True)[1]
     mark = np.zeros(len(flat) + 1, bool)
     links = []
     for z in range(m - 1):
@@ -149,22 +172,31 @@ def group_links(ids: list[int], sides: list[int], sets: list[np.ndarray], across
     return links
 
 
+def _pair_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = [similar(np.frombuffer(p.as_buffer(), np.int64), np.frombuffer(q.as_buffer(), np.int64)) for p, q in zip(batch.column(2), batch.column(3), strict=True)]
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+
 def _list_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[tuple]:
         for batch in batches:
-            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            columns = [c.to_pylist() for c in batch.columns[:-1]]
+            for k, row in enumerate(zip(*columns, strict=True)):
+                yield *row, np.frombuffer(batch.column(6)[k].as_buffer().to_pybytes(), np.int64)
 
     for (_, i, j), members in groupby(rows(), key=lambda r: r[:3]):
         members = list(members)
         if len(members) > 1:
-            found = group_links([r[4] for r in members], [r[3] for r in members], [np.frombuffer(r[5], np.int64) for r in members], i != j)
+            label_of = {r[4]: r[5] for r in members}
+            found = group_links([r[4] for r in members], [r[3] for r in members], [r[6] for r in members], i != j, [r[5] for r in members])
             if found:
-                a, b = zip(*found)
+                a, b = zip(*((label_of[x], label_of[y]) for x, y in found))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def candidate_lists(reps: DataFrame) -> DataFrame:
-    """``reps`` (id, n, sketch) -> inverted lists (v, id) in which every pair to be compared meets.
+    """``reps`` (id, n, sketch) -> inverted lists (v, id, n) in which every pair to be compared meets.
 
     A document enters the lists of its rarest retained values only: two linked ones share at least ``least`` retained
     values, so one of them is among the first kept - least + 1 of each (rarest first, then by value). Values nobody else has
@@ -177,9 +209,9 @@ def candidate_lists(reps: DataFrame) -> DataFrame:
     of_doc = Window.partitionBy("id")
     alone = F.col("kept") - F.count("*").over(of_doc)
     rank = F.row_number().over(of_doc.orderBy("count", "v")) + alone
-    chosen = stored(shared.select("id", "v", "count", (rank <= F.col("kept") - least + 1).alias("keep")).where("keep").select("v", "id"), "lists")
+    chosen = stored(shared.select("id", "n", "v", (rank <= F.col("kept") - least + 1).alias("keep")).where("keep").select("v", "id", "n"), "lists")
     alike = chosen.groupBy("v").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("m > 1")
-    lists = alike.groupBy("m", "x", "y").agg(F.min("v").alias("v")).select("v", "m")
+    lists = alike.groupBy("m", "x", "y").agg(F.min("v").alias("v")).select("v")
     return chosen.join(lists, "v")
 
 
@@ -192,7 +224,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs. Null or empty texts have n_shingles 0 and are linked with nothing. Rows that share a doc_id are one document,
     linked by any of their texts. A row without doc_id has the component of its copies, if any, and is kept. An empty table gives no rows.
     """
-    docs = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    docs = small_batches(spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
     own = stored(sketches(docs), "sketches")
     usable = own.where("set_key is not null and doc_id is not null")
     classes = stored(usable.groupBy("set_key").agg(F.min("doc_id").alias("id")), "classes")
@@ -202,25 +234,44 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # a few in a hundred of all documents: sent to the texts while they are few, else the texts are dealt by doc_id
     wanted = F.broadcast(active) if active.count() <= SENT else active
     sets = docs.join(wanted, docs.doc_id == F.col("id")).select("id", "text", "set_key").mapInArrow(_sets, "id long, members binary")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    placed = lists.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.select("v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id")
-    met = placed.join(sets, "id").repartition("v", "i", "j").sortWithinPartitions("v", "i", "j", "id")
-    links = stored(met.select("v", "i", "j", "side", "id", "members").mapInArrow(_list_links, "a long, b long"), "links")
+    # of each list all members meet the first: near copies, however many, are mostly joined by that
+    first = lists.groupBy("v").agg(F.min("id").alias("a"))
+    pairs = lists.join(first, "v").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("p")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("q")), "b")
+    links = stored(both.select("a", "b", "p", "q").mapInArrow(_pair_links, "a long, b long"), "links")
     labels = components(links)
+    # then lists with members that are not joined yet are compared whole, in blocks of bounded bytes
+    labelled = stored(lists.join(labels, "id", "left").select("v", "id", "n", F.coalesce("label", "id").alias("label")), "labelled")
+    mixed = labelled.groupBy("v").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum("n").alias("size")).where("low < high")
+    blocks = F.ceil(F.col("size") * 8 / BLOCK).cast("int")
+    placed = labelled.join(mixed.select("v", "size"), "v").withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed = placed.select("v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "label")
+    met = placed.join(sets, "id").repartition("v", "i", "j").sortWithinPartitions("v", "i", "j", "id")
+    more = stored(met.select("v", "i", "j", "side", "id", "label", "members").mapInArrow(_list_links, "a long, b long"), "links")
+    above = components(more).select(F.col("id").alias("label"), F.col("label").alias("least"))
     with_class = own.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
-    found = with_class.join(labels, "id", "left").select("doc_id", "n_shingles", F.coalesce("label", "id", "doc_id").alias("component_id"))
+    named = with_class.join(labels, "id", "left").select("doc_id", "n_shingles", F.coalesce("label", "id", "doc_id").alias("label"))
+    found = named.join(above, "label", "left").select("doc_id", "n_shingles", F.coalesce("least", "label").alias("component_id"))
     found = found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     result = stored(found, "components")
-    drop_stored(own, classes, lists, active, links)
+    drop_stored(own, classes, lists, active, links, labelled, more)
     return result
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without all but one, that with the smallest doc_id, of each group of near duplicates."""
+    """The documents without all but one, that with the smallest doc_id, of each group of near duplicates.
+
+    Of rows that share a doc_id one stays, that with the least text (null first), then source and lang by the whole row, so
+    reruns agree. Rows without doc_id all stay, documents without words too. An empty table stays empty.
+    """
     kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    row = F.struct("text", *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    several = named.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    alone = named.join(several, "doc_id", "left_anti")
+    chosen = named.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("row")).select("row.*")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return alone.select(columns).unionByName(chosen.select(columns)).unionByName(docs.where("doc_id is null"))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

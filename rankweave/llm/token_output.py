@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rankweave.llm.common import small_batches
 from rankweave.session import new_scratch_path
 from rankweave.sources.tables import table
 
@@ -350,7 +351,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str) -> Data
     alone. An empty table gives no documents. A task that runs again writes the same file under the same name.
     Returns the manifest (part, path, n_docs, n_tokens, n_bytes, start), start being the ids of all files before.
     """
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     manifest = ordered.mapInArrow(_writer(tokenizer_path, folder), "part int, path string, n_docs long, n_tokens long, n_bytes long")
     manifest.write.parquet(f"{folder}/manifest")
     spark = docs.sparkSession

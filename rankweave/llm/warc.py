@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankweave.llm.common import small_batches
 from rankweave.session import new_scratch_path, stored
 from rankweave.sources.tables import spread, table
 
@@ -224,7 +225,7 @@ def write_packages(pages: DataFrame, folder: str, least_bytes: int = 0, package:
     revisit = F.col("counts") & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     rows = rows.select("page_id", "url", "html", "sha1", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
     rows = rows.withColumn("sha1", _base32(F.col("sha1")))
-    manifest = rows.mapInArrow(_writer(folder, package), "path string, n_bytes long, n_records long")
+    manifest = small_batches(rows).mapInArrow(_writer(folder, package), "path string, n_bytes long, n_records long")
     return stored(manifest, "packages")
 
 

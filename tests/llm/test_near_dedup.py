@@ -54,7 +54,7 @@ def test_against_brute_force(spark):
 
 
 def test_lists_cut_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(nd, "BLOCK", 4)
+    monkeypatch.setattr(nd, "BLOCK", 3000)
     rows = corpus(8, 120)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert set(map(tuple, nd.near_duplicates(docs).collect())) == brute(rows)
@@ -66,6 +66,31 @@ def test_repeated_rows_and_null_ids(spark):
     got = sorted(map(str, map(tuple, nd.near_duplicates(docs).collect())))
     assert got == sorted(map(str, [(2, 2, 1, False), (2, 2, 1, False), (1, 2, 1, True), (None, 2, 1, True), (None, 0, None, True)]))
     assert nd.keep_one_of_each(docs).count() == 3
+    two = spark.createDataFrame([(2, "b text of five words here", "y"), (2, "a text of other six words here", "z"), (2, "a text of other six words here", "x")], "doc_id long, text string, source string")
+    assert [tuple(r) for r in nd.keep_one_of_each(two.repartition(3)).collect()] == [(2, "a text of other six words here", "x")]
+
+
+def test_many_near_copies_with_bridges(spark):
+    """A chain of texts, each near the next alone, beside a star of near copies."""
+    words = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join(words[12 * k : 12 * k + 150])) for k in range(12)]
+    rnd = random.Random(4)
+    for k in range(120):
+        own = [f"v{i}" for i in range(100)]
+        for _ in range(3):
+            own[rnd.randrange(100)] = f"x{k}{rnd.random()}"
+        rows.append((100 + k, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert set(map(tuple, nd.near_duplicates(docs).collect())) == brute(rows)
+
+
+def test_similar_as_sets():
+    rnd = np.random.default_rng(1)
+    for _ in range(300):
+        a = np.unique(rnd.integers(0, 1 << 60, rnd.integers(1, 400)))
+        b = np.unique(np.concatenate([rnd.choice(a, rnd.integers(1, len(a) + 1), replace=False), rnd.integers(0, 1 << 60, rnd.integers(0, 40))]))
+        both = len(np.intersect1d(a, b))
+        assert nd.similar(a, b) == (100 * both >= 75 * len(np.union1d(a, b)))
 
 
 def test_empty_table(spark):
