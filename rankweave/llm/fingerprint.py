@@ -1,6 +1,8 @@
 """Order MinHash fingerprints of documents, in DataFrame operations alone.
 
-A text is cut into small tokens that cover every character; a k-mer is K tokens in a row. Every occurrence of a k-mer is
+A text is cut into small tokens that cover every character, ended by what the characters are and not by how many came before
+(at a few letters and digits, at white space, at every character of scripts without spaces), so an inserted character moves
+the ends next to it alone. A k-mer is K tokens in a row. Every occurrence of a k-mer is
 an element of its own, numbered by how often the k-mer came before. One hash of k-mer and number places the elements on a
 ring; each of SLOTS equally spaced points selects the TUPLE elements that follow it (hash functions that are rotations of
 one another), puts them back in the order of the text and hashes the tuple. Two texts agree in a slot when they share both
@@ -17,9 +19,12 @@ from rankweave.session import checkpointed, drop_stored, stored
 from rankweave.sources.tables import spread, table
 
 K, SLOTS = 4, 64
-#: A character of a script without spaces, or up to 4 other non-space characters with the white space after them, or space.
-TOKEN = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]|[^\s\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]{1,4}\s?|\s)"
-#: An element is a long: a hash in the upper bits, its place in the text in the lower.
+#: Scripts that are written without spaces: each character is a token. Characters that end a token; longest token.
+_ALONE = "".join(rf"\p{{Is{name}}}" for name in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
+_ENDS, LONGEST = "aeoAEO05/", 8
+#: A character of such a script, or others up to one that ends a token with the white space after them, or space.
+TOKEN = rf"([{_ALONE}]|[^\s{_ALONE}{_ENDS}]{{0,{LONGEST - 1}}}[{_ENDS}]\s?|[^\s{_ALONE}{_ENDS}]{{1,{LONGEST}}}\s?|\s)"
+#: An element is a long: a hash in the upper bits, its place in the text in the lower (in steps where there are more places).
 PLACE_BITS = 24
 _PLACE = (1 << PLACE_BITS) - 1
 _HASH = ~_PLACE
@@ -32,9 +37,11 @@ def _let(value: Column, body) -> Column:
 
 def _elements(tokens: Column) -> Column:
     """Sorted elements of the k-mers of the token hashes; texts of fewer than K tokens have one k-mer, empty ones none."""
-    kmer = lambda t: lambda h, i: F.xxhash64(h, *[F.get(t, i + j) for j in range(1, K)]).bitwiseAND(F.lit(_HASH)).bitwiseOR(i.cast("long"))
+    kmer = lambda t, place: lambda h, i: F.xxhash64(h, *[F.get(t, i + j) for j in range(1, K)]).bitwiseAND(F.lit(_HASH)).bitwiseOR(place(i).cast("long"))
     first = lambda t: F.slice(t, 1, F.least(F.size(t), F.greatest(F.size(t) - (K - 1), F.lit(1))))
-    return _let(tokens, lambda t: F.sort_array(F.transform(first(t), kmer(t))))
+    near, far = lambda i: i, lambda i: F.shiftright(i, 31 - PLACE_BITS)
+    made = lambda t: F.when(F.size(t) <= 1 << PLACE_BITS, F.transform(first(t), kmer(t, near))).otherwise(F.transform(first(t), kmer(t, far)))
+    return _let(tokens, lambda t: F.sort_array(made(t)))
 
 
 def _runs(sorted_elements: Column) -> Column:
@@ -79,37 +86,34 @@ def as_string(slots: Column) -> Column:
 
 
 def neighbours(keys: DataFrame) -> DataFrame:
-    """``keys`` (doc_id, no, n_chars) -> the same with next_id, next_no, before_id, before_no, lent.
+    """``keys`` (doc_id, key, no, n_chars) -> the same with next_key, next_no, before_key, before_no, lent.
 
-    The next document follows in descending order of doc_id (null last; equal ids by no), the first after the last. ``lent``
-    is how many characters the document before takes from this one: a third of its own length. Rows are dealt by ranges of
-    that order and numbered within; only the numbers of rows of the ranges are added up, so no task sees all rows.
+    The next document follows in descending order of doc_id (null last; equal ids by key and no), the first after the last.
+    ``lent`` is how many characters the document before takes from this one: a third of its own length. Rows are dealt by
+    ranges of that order and numbered within; only the numbers of rows of the ranges are added up, so no task sees all rows.
     """
-    order = [F.desc_nulls_last("doc_id"), F.col("no")]
+    order = [F.desc_nulls_last("doc_id"), F.col("key"), F.col("no")]
     dealt = keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
     dealt = checkpointed(dealt)
     parts = dealt.groupBy("part").agg(F.count("*").alias("n"), F.min("row").alias("least"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     parts = parts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy()))
-    numbered = checkpointed(dealt.join(F.broadcast(parts.select("part", "least", "first", "total")), "part").select("doc_id", "no", "n_chars", "total", (F.col("row") - F.col("least") + F.col("first")).alias("at")))
-    after = numbered.select(F.col("doc_id").alias("next_id"), F.col("no").alias("next_no"), F.col("at").alias("next_at"))
-    ahead = numbered.select(F.col("doc_id").alias("before_id"), F.col("no").alias("before_no"), F.floor(F.col("n_chars") / 3).alias("lent"), F.col("at").alias("before_at"))
+    numbered = checkpointed(dealt.join(F.broadcast(parts.select("part", "least", "first", "total")), "part").select("doc_id", "key", "no", "n_chars", "total", (F.col("row") - F.col("least") + F.col("first")).alias("at")))
+    after = numbered.select(F.col("key").alias("next_key"), F.col("no").alias("next_no"), F.col("at").alias("next_at"))
+    ahead = numbered.select(F.col("key").alias("before_key"), F.col("no").alias("before_no"), F.floor(F.col("n_chars") / 3).alias("lent"), F.col("at").alias("before_at"))
     found = numbered.join(after, F.pmod(numbered.at + 1, numbered.total) == F.col("next_at")).join(ahead, F.pmod(F.col("at") - 1, F.col("total")) == F.col("before_at"))
-    return found.select("doc_id", "no", "n_chars", "next_id", "next_no", "before_id", "before_no", "lent")
-
-
-def _key(doc_id: Column) -> Column:
-    """The id to deal by; rows without one have the least."""
-    return F.coalesce(doc_id, F.lit(-(1 << 63)))
+    return found.select("doc_id", "key", "no", "n_chars", "next_key", "next_no", "before_key", "before_no", "lent")
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """Adds key, n_chars and no: rows that share a doc_id get numbers by length and hash of the text.
+    """Adds key, n_chars and no: rows that share a key get numbers by length and hash of the text.
 
-    Where the text isn't used, it isn't dealt; where it is, the joins by key find it dealt already.
+    The key to deal by is the doc_id, or a hash of the text where there is none. Where the text isn't used, it isn't dealt;
+    where it is, the joins by key find it dealt already.
     """
-    docs = docs.withColumns({"key": _key(F.col("doc_id")), "n_chars": F.length("text").cast("long"), "h": F.xxhash64("text")})
-    return docs.withColumn("no", F.row_number().over(Window.partitionBy("key").orderBy("n_chars", "h"))).drop("h")
+    key = F.coalesce("doc_id", F.xxhash64(F.lit("no id"), "text"))
+    docs = docs.withColumns({"key": key, "n_chars": F.length("text").cast("long"), "h": F.xxhash64("text")})
+    return docs.withColumn("no", F.row_number().over(Window.partitionBy("key").orderBy("n_chars", "h", F.col("doc_id").isNull()))).drop("h")
 
 
 def _same(left: str, right: str) -> Column:
@@ -122,23 +126,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has the last floor(n_chars / 3) characters replaced by the first as many (or all) of the next document,
     in descending order of doc_id, the first after the last. A null text is empty; empty texts have a fingerprint of zeros.
-    Rows that share a doc_id follow one another by length of the text; a row without doc_id comes last. A document alone is its own next.
+    Rows that share a doc_id follow one another by length of the text; rows without doc_id come last, by a hash of the text. A document alone is its own next.
     Other columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    near = stored(neighbours(_numbered(docs).select("doc_id", "no", "n_chars")), "neighbours")
+    near = stored(neighbours(_numbered(docs).select("doc_id", "key", "no", "n_chars")), "neighbours")
     texts = _numbered(docs).select("key", "no", "text")
-    own = near.withColumn("key", _key(F.col("doc_id")))
-    lent = texts.alias("t").join(own.alias("n"), _same("t", "n")).select(_key(F.col("before_id")).alias("key"), F.col("before_no").alias("no"), F.expr("left(t.text, cast(lent as int))").alias("part"))
-    pair = texts.alias("t").join(own.alias("n"), _same("t", "n")).select("t.key", "t.no", "t.text", "n_chars", "next_id", "next_no").alias("a")
+    lent = texts.alias("t").join(near.alias("n"), _same("t", "n")).select(F.col("before_key").alias("key"), F.col("before_no").alias("no"), F.expr("left(t.text, cast(lent as int))").alias("part"))
+    pair = texts.alias("t").join(near.alias("n"), _same("t", "n")).select("doc_id", "t.key", "t.no", "t.text", "n_chars", "next_key", "next_no").alias("a")
     pair = pair.join(lent.alias("b"), _same("a", "b"))
     edited = F.concat(F.expr("left(a.text, cast(n_chars - floor(n_chars / 3) as int))"), F.col("part"))
-    made = pair.select("a.key", "a.no", "n_chars", _key(F.col("next_id")).alias("next_key"), "next_no", F.col("a.text").alias("text"), edited.alias("edited"))
-    made = made.select("key", "no", "n_chars", "next_key", "next_no", fingerprint(F.col("text")).alias("own"), fingerprint(F.col("edited")).alias("changed"), F.sha2("edited", 256).alias("edited_sha256"))
+    made = pair.select("doc_id", "a.key", "a.no", "n_chars", "next_key", "next_no", F.col("a.text").alias("text"), edited.alias("edited"))
+    made = made.select("doc_id", "key", "no", "n_chars", "next_key", "next_no", fingerprint(F.col("text")).alias("own"), fingerprint(F.col("edited")).alias("changed"), F.sha2("edited", 256).alias("edited_sha256"))
     made = stored(made, "fingerprints")
     follower = made.select(F.col("key").alias("next_key"), F.col("no").alias("next_no"), F.col("own").alias("next"))
     result = made.join(follower, ["next_key", "next_no"]).select(
-        F.when(F.col("key") != -(1 << 63), F.col("key")).alias("doc_id"),
+        "doc_id",
         "n_chars",
         "edited_sha256",
         as_string(F.col("own")).alias("fingerprint"),

@@ -74,3 +74,26 @@ def test_long_text_single_document_and_empty_table(spark):
     row = fp.fingerprints(docs).head()
     assert row.n_chars == 840_000 and row.near_next == 1
     assert fp.fingerprints(spark.createDataFrame([], T.StructType.fromDDL("doc_id long, text string"))).count() == 0
+
+
+def test_one_inserted_character_changes_little_in_texts_without_spaces(spark):
+    solid = "".join(chr(97 + (k * k * 31 + k * 7) % 26) if k % 3 else str(k % 10) for k in range(600))
+    khmer = "".join(chr(0x1780 + (k * k * 13 + k) % 34) for k in range(600))
+    rows = [(n, t, t2) for n, t in (("solid", solid), ("khmer", khmer)) for t2 in ("x" + t, t[:300] + "q" + t[300:], t[1:])]
+    near = spark.createDataFrame(rows, "n string, a string, b string").select("n", fp.likeness(fp.fingerprint(F.col("a")), fp.fingerprint(F.col("b"))).alias("v")).collect()
+    assert min(r.v for r in near) > 0.7
+
+
+def test_many_rows_without_an_id(spark):
+    rows = [(None, f"text number {k % 40} of many") for k in range(80)] + [(4, "with an id")]
+    got = fp.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 81 and sum(r.doc_id is None for r in got) == 80
+
+
+def test_places_beyond_the_bits_are_taken_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(fp, "PLACE_BITS", 8)
+    monkeypatch.setattr(fp, "_PLACE", 255)
+    monkeypatch.setattr(fp, "_HASH", ~255)
+    text = " ".join(str(k * 7919 % 9973) for k in range(800))
+    a, b = spark.createDataFrame([(text, text.replace("7919 ", "x "))], "a string, b string").select(fp.fingerprint(F.col("a")), fp.fingerprint(F.col("b"))).head()
+    assert sum(x == y for x, y in zip(a, b)) > 50
