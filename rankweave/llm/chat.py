@@ -46,10 +46,11 @@ def chosen_paths(messages: DataFrame) -> DataFrame:
     jumps, still, before = [], reach.where("up is not null").count(), -1
     first = reach
     while still and still != before:  # each round some node arrives, if any can: what does not lies on a cycle or hangs on one
-        jumps.append(reach.where("up is not null").select("id", "up"))
+        active, resting = reach.where("up is not null"), reach.where("up is null")
+        jumps.append(active.select("id", "up"))
         above = reach.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("total").alias("total2"))
-        total = (F.col("total") + F.coalesce("total2", F.lit(0).cast("decimal(38,6)"))).cast("decimal(38,6)")
-        reach = checkpointed(reach.join(above, "up", "left").select("id", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), total.alias("total")))
+        total = (F.col("total") + F.col("total2")).cast("decimal(38,6)").alias("total")
+        reach = checkpointed(active.join(above, "up").select("id", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"), total).unionByName(resting))
         before, still = still, reach.where("up is not null").count()
     rooted = reach.where("up is null").select("id", "steps", "total")
     leaves = nodes.select("id", "tree", "node").join(first.select(F.col("up").alias("id")), "id", "left_anti").join(rooted, "id")
