@@ -6,10 +6,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from rankweave.llm.common import small_batches
 from rankweave.session import drop_stored, stored
@@ -92,24 +92,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def _frequent(counts: DataFrame, groups: list[str], item: str, limit: int, least: int) -> DataFrame:
-    """The items of each group with counts over the lowest count at which at most ``limit`` remain."""
-    tally = counts.where(F.col("n") >= least).groupBy(*groups, "n").agg(F.count("*").alias("items"))
-    running = F.sum("items").over(Window.partitionBy(*groups).orderBy(F.desc("n")))
-    lowest = tally.withColumn("running", running).where(F.col("running") <= limit).groupBy(*groups).agg(F.min("n").alias("lowest"))
-    return counts.join(F.broadcast(lowest), groups).where("n >= lowest").select(*groups, item, "n")
-
-
-def _table(rows: list, item: str, languages: list[str], totals: dict[str, float]) -> _Rows:
-    at = {lang: k for k, lang in enumerate(languages)}
-    index: dict[str, int] = {}
-    for row in rows:
-        index.setdefault(row[item], len(index))
-    counts = np.zeros((len(index), len(languages)))
-    for row in rows:
-        counts[index[row[item]], at[row["lang"]]] = row["n"]
-    sizes = np.array([totals.get(lang, 0.0) for lang in languages]) + len(index) * 0.5 + 1
-    return _Rows(index, np.log((counts + 0.5) / sizes).astype(np.float32))
+def _table(counts: pa.Table, languages: list[str]) -> _Rows:
+    """Log frequencies of every item of ``counts`` (lang, item, n) in each language."""
+    items = counts["item"].combine_chunks().dictionary_encode()
+    codes, names = items.indices.to_numpy(), items.dictionary.to_pylist()
+    langs = pc.index_in(counts["lang"].combine_chunks(), pa.array(languages, pa.string())).to_numpy()
+    found = np.zeros((len(names), len(languages)))
+    found[codes, langs] = counts["n"].to_numpy()
+    return _Rows({name: k for k, name in enumerate(names)}, np.log((found + 0.5) / (found.sum(axis=0) + len(names) * 0.5 + 1)).astype(np.float32))
 
 
 def _cuts(marked: Column, n: int) -> Column:
@@ -117,12 +107,12 @@ def _cuts(marked: Column, n: int) -> Column:
     return F.transform(places, lambda i: F.struct(F.lit(n).alias("size"), F.substring(marked, i, F.lit(n)).alias("gram")))
 
 
-def fit(docs: DataFrame, rows_per_language: int = 6000, words_per_language: int = 40_000, grams_per_language: int = 15_000) -> LanguageModel:
+def fit(docs: DataFrame, rows_per_language: int = 1500) -> LanguageModel:
     """Learn from text and lang of ``docs`` that are not held out.
 
-    At most about ``rows_per_language`` documents of each language, drawn by a hash of doc_id, are counted, whole; the
-    model keeps the commonest ``words_per_language`` words and ``grams_per_language`` n-grams of each length, so its size
-    is bounded whatever the input. Rows without text, lang or doc_id teach nothing; without any row no language is known.
+    At most about ``rows_per_language`` documents of each language, drawn by a hash of doc_id, are counted, whole, and all
+    of their words and n-grams are kept: this bound on labelled rows is the only one. Rows without text, lang or doc_id
+    teach nothing; without any row no language is known.
     """
     usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
@@ -130,22 +120,16 @@ def fit(docs: DataFrame, rows_per_language: int = 6000, words_per_language: int
         return LanguageModel([], {}, [{} for _ in range(LONGEST)])
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, rows_per_language / n))])
     drawn = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
-    words = drawn.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word"))
-    counts = stored(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
-    marked = F.concat(F.lit("^"), "word", F.lit("$"))
+    words = drawn.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("item"))
+    counts = stored(words.groupBy("lang", "item").agg(F.count("*").alias("n")), "words")
+    marked = F.concat(F.lit("^"), "item", F.lit("$"))
     none = F.array().cast("array<struct<size:int,gram:string>>")
     cuts = [F.when(F.length(marked) >= n, _cuts(marked, n)).otherwise(none) for n in range(1, LONGEST + 1)]
-    grams = counts.select("lang", "n", F.explode(F.concat(*cuts)).alias("g")).groupBy("lang", "g.size", "g.gram").agg(F.sum("n").alias("n"))
-    grams = stored(grams, "grams")
+    grams = counts.select("lang", "n", F.explode(F.concat(*cuts)).alias("g")).groupBy("lang", "g.size", F.col("g.gram").alias("item")).agg(F.sum("n").alias("n"))
     languages = sorted(sizes)
-    totals = {r["lang"]: float(r["n"]) for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    known = _table(_frequent(counts, ["lang"], "word", words_per_language, 2).collect(), "word", languages, totals)
-    gram_rows = _frequent(grams, ["lang", "size"], "gram", grams_per_language, 1).collect()
-    gram_totals: dict[int, dict[str, float]] = {n: {} for n in range(1, LONGEST + 1)}
-    for r in grams.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect():
-        gram_totals[r["size"]][r["lang"]] = float(r["n"])
-    tables = [_table([r for r in gram_rows if r["size"] == n], "gram", languages, gram_totals[n]) for n in range(1, LONGEST + 1)]
-    drop_stored(counts, grams)
+    known, pieces = _table(counts.toArrow(), languages), grams.toArrow()
+    tables = [_table(pieces.filter(pc.equal(pieces["size"], n)), languages) for n in range(1, LONGEST + 1)]
+    drop_stored(counts)
     return LanguageModel(languages, known, tables)
 
 

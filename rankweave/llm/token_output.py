@@ -328,7 +328,8 @@ def _writer(tokenizer_path: str, folder: str):
         part = task.partitionId()
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
-        final, draft = f"{root}/part-{part:06d}.tok", f"{root}/.part-{part:06d}-{task.taskAttemptId()}.draft"
+        name = f"part-{part:06d}-{task.taskAttemptId()}.tok"
+        draft = f"{root}/.{name}.draft"
         own, n_docs = encoder(tokenizer_path), 0
         with fs.open_output_stream(draft) as sink:
             out = TokenFileWriter(sink)
@@ -337,8 +338,8 @@ def _writer(tokenizer_path: str, folder: str):
                     out.add(doc_id, np.append(own.encode(text.as_py()), own.dtype.type(END_ID)))
                 n_docs += len(batch)
             out.close()
-        fs.move(draft, final)
-        yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"part-{part:06d}.tok"], "n_docs": [n_docs], "n_tokens": [out.n_tokens], "n_bytes": [out.at]}, schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())]))
+        fs.move(draft, f"{root}/{name}")
+        yield pa.RecordBatch.from_pydict({"part": [part], "path": [name], "n_docs": [n_docs], "n_tokens": [out.n_tokens], "n_bytes": [out.at]}, schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())]))
 
     return write
 
@@ -348,7 +349,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str) -> Data
 
     Documents are dealt by ranges of doc_id (null first, equal ids by text), so part numbers follow the order and no task
     holds more than its range; a task keeps one segment in memory. A null text is empty: its document is the end id
-    alone. An empty table gives no documents. A task that runs again writes the same file under the same name.
+    alone. An empty table gives no documents. A file's name holds the attempt of its task; the manifest names those that count.
     Returns the manifest (part, path, n_docs, n_tokens, n_bytes, start), start being the ids of all files before.
     """
     ordered = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

@@ -188,7 +188,7 @@ def _writer(folder: str, package: int):
         def end() -> None:
             out.close()
             sink.close()
-            name = f"part-{task.partitionId():06d}-{len(made):04d}.wacz"
+            name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(made):04d}.wacz"
             fs.move(draft, f"{root}/{name}")
             made.append((name, fs.get_file_info(f"{root}/{name}").size, n))
 
@@ -214,8 +214,9 @@ def write_packages(pages: DataFrame, folder: str, least_bytes: int = 0, package:
     """Write a record for each row of ``pages`` (page_id, url, html) in packages under ``folder``; the manifest (path, n_bytes, n_records).
 
     Of the rows with equal payloads of at least ``least_bytes``, those with the largest page_id are responses and the others
-    revisits that refer to it; rows with smaller payloads are all responses. A null html is an empty payload. A task that
-    runs again writes the same records under the same names.
+    revisits that refer to it; rows with smaller payloads are all responses. A null html is an empty payload. Names hold the
+    attempt of the task, so one that runs again leaves the packages of the other alone, and the manifest names those of the
+    attempt that counts.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.unhex(F.sha1(payload)).alias("sha1"), (F.length(payload) >= least_bytes).alias("counts"))
@@ -225,6 +226,7 @@ def write_packages(pages: DataFrame, folder: str, least_bytes: int = 0, package:
     revisit = F.col("counts") & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     rows = rows.select("page_id", "url", "html", "sha1", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
     rows = rows.withColumn("sha1", _base32(F.col("sha1")))
+    rows = rows.sortWithinPartitions("page_id", "url")
     manifest = small_batches(rows).mapInArrow(_writer(folder, package), "path string, n_bytes long, n_records long")
     return stored(manifest, "packages")
 
