@@ -24,8 +24,8 @@ def rstrip(c: Column) -> Column:
 
 
 def split_lines(c: Column) -> Column:
-    """Lines of a text with any line ends; none for an empty text, no empty last one."""
-    lines = F.split(F.coalesce(c, F.lit("")), r"\r\n|\r|\n", -1)
+    """Lines of a text with any of the line ends of Unicode; none for an empty text, no empty last one."""
+    lines = F.split(F.coalesce(c, F.lit("")), r"\r\n|[\n-\r\x1c-\x1e\x85\u2028\u2029]", -1)
     return F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
 
 

@@ -1,4 +1,5 @@
 import json
+import random
 import re
 from pathlib import Path
 
@@ -65,11 +66,59 @@ def test_windows_overlap_and_end_at_stops():
     assert all(len(p) <= 750 for p in pieces) and st.windows("  ") == [] and st.windows("ab") == ["ab"]
 
 
-def test_tables_split_under_their_head():
-    table = [["a", "b"]] + [[f"row {k}", "x" * 60] for k in range(30)]
-    pieces = st.table_pieces(table)
-    assert len(pieces) > 1 and all(p.startswith("| a | b |\n| --- | --- |\n") for p in pieces)
-    assert st.table_pieces([["only", "head"]]) == ["| only | head |\n| --- | --- |"] and st.table_pieces([[None, ""]]) == []
+def test_tables_split_under_their_head(spark):
+    tables = [[["a", "b"]] + [[f"row {k}", "x" * 60] for k in range(30)], [["only", "head"]], [[None, ""]], None, [["h|", None, "c"], ["a|b"], ["", ""], ["l\nm", " p ", "q"]]]
+    rows = spark.createDataFrame(list(enumerate(tables)), "k int, t array<array<string>>").select("k", st.table_pieces(F.col("t")).alias("p"))
+    pieces = {r.k: r.p for r in rows.collect()}
+    assert len(pieces[0]) > 1 and all(p.startswith("| a | b |\n| --- | --- |\n") for p in pieces[0])
+    assert [x for p in pieces[0] for x in p.split("\n")[2:]] == [f"| row {k} | {'x' * 60} |" for k in range(30)]
+    assert pieces[1] == ["| only | head |\n| --- | --- |"] and pieces[2] == pieces[3] == []
+    assert pieces[4] == ["| h| |  | c |\n| --- | --- | --- |\n| a\\|b |  |  |\n| l m | p | q |"]
+
+
+def plain_fill(lines, full=300, most=750):
+    """Blocks by taking lines one by one: (lines, clauses noted) of each."""
+    blocks = [([], [])]
+    for clause, line in lines:
+        if clause and len("".join(blocks[-1][0])) + len(blocks[-1][0]) >= full and blocks[-1][0]:
+            blocks.append(([], []))
+        if clause:
+            blocks[-1][1].append(clause)
+        if blocks[-1][0] and len("".join(blocks[-1][0])) + len(blocks[-1][0]) + len(line) > most:
+            blocks.append(([], []))
+        blocks[-1][0].append(line)
+    return blocks
+
+
+def test_blocks_of_a_stretch():
+    rnd = random.Random(6)
+    for _ in range(200):
+        lines = [(f"c{k}" if rnd.random() < 0.4 else None, "x" * rnd.choice([1, 20, 90, 240, 400, 800])) for k in range(rnd.randrange(0, 25))]
+        blocks, notes = {}, {}
+        for (clause, line), code in zip(lines, st.filled([-len(t) if c else len(t) for c, t in lines])):
+            blocks.setdefault(code >> 1, []).append(line)
+            if clause:
+                notes.setdefault((code >> 1) - (code & 1), []).append(clause)
+        expected = plain_fill(lines)
+        assert [blocks.get(k, []) for k in range(len(expected))] == [b for b, _ in expected] and [notes.get(k, []) for k in range(len(expected))] == [n for _, n in expected]
+
+
+def test_chunks_of_a_small_book(spark):
+    long = "2.1 " + "clause text of some length " * 14
+    text = f"第一章 甲\n1.1 short\n{long}\n{long.replace('2.1', '2.2')}\n2.3 last\n第一节 乙\nplain\n第二章 丙\nend"
+    rows = [(1, 1, "cover", [], True, False), (1, 2, text, [[["k", "v"], ["a", "b"]], [["", None]]], False, False), (1, 3, "after\n3.1 x", [], False, False), (2, 1, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "doc_id int, page int, text string, tables array<array<array<string>>>, is_cover boolean, is_toc boolean")
+    got = [(r.pos, r.pages, r.chapter, r.section, r.clause_range, r.path, r.content.split("\n")[0][:12]) for r in st.build_chunks(pages).orderBy("pos").collect()]
+    # 2.2 does not fit after 1.1 and 2.1: it is noted there, and its text begins the next block
+    assert got == [
+        (0, [2], "第一章 甲", "", "1.1~2.1", "第一章 甲 > 1.1~2.1", "1.1 short"),
+        (1, [2], "第一章 甲", "", "2.2", "第一章 甲 > 2.2 " + long[4:].strip(), "clause text "),
+        (2, [2], "第一章 甲", "", "2.3", "第一章 甲 > 2.3 last", "2.3 last"),
+        (3, [2], "第一章 甲", "第一节 乙", "", "第一章 甲 > 第一节 乙", "plain"),
+        (4, [2], "第二章 丙", "", "", "第二章 丙", "end"),
+        (5, [2], "第二章 丙", "", "", "第二章 丙", "| k | v |"),
+        (6, [3], "第二章 丙", "", "3.1", "第二章 丙 > 3.1 x", "after"),
+    ]
 
 
 def test_frame_noise(spark):
