@@ -56,18 +56,85 @@ def last_heading_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.last_headings(lines, ("doc_id",), ("idx",), chapter, section).select("doc_id", "idx", "chapter", "section")
 
 
-@register("chunk_windows")
+def _windows_sql(source: str, key: str, stops: tuple[str, ...]) -> str:
+    """cut(key, no, piece): the windows of ``source`` (key, s), stripped; to follow WITH RECURSIVE. Stops are SQL expressions."""
+
+    def end(start: str) -> str:
+        high = f"least({start} + 750, length(s))"
+        last = f"substr(s, CAST({start} + 501 AS INTEGER), CAST({high} - {start} - 500 AS INTEGER))"
+        cases = " ".join(f"WHEN strpos({last}, {stop}) > 0 THEN {start} + 500 + length({last}) - strpos(reverse({last}), reverse({stop})) + 2 - length({stop})" for stop in stops)
+        return f"CASE WHEN length(s) <= 750 THEN length(s) WHEN {high} - {start} <= 500 THEN {high} {cases} ELSE {high} END"
+
+    return f"""walked AS (
+    SELECT {key}, s, 0 AS turn, CAST(0 AS BIGINT) AS start, CAST({end("0")} AS BIGINT) AS fin FROM {source} WHERE s <> ''
+    UNION ALL
+    SELECT {key}, s, turn + 1, nxt, CAST({end("nxt")} AS BIGINT) FROM (SELECT *, CASE WHEN fin - 80 > start THEN fin - 80 ELSE fin END AS nxt FROM walked WHERE fin < length(s))),
+  cut AS (SELECT {key}, CAST(row_number() OVER (PARTITION BY {key} ORDER BY turn) - 1 AS INTEGER) AS no, piece FROM (SELECT {key}, turn, trim(substr(s, CAST(start + 1 AS INTEGER), CAST(fin - start AS INTEGER)), {_SPACE}) AS piece FROM walked) WHERE piece <> '')"""
+
+
+_SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@register(
+    "chunk_windows",
+    f"""WITH RECURSIVE src AS (SELECT doc_id, trim(text, {_SPACE}) AS s FROM documents), {_windows_sql("src", "doc_id", ("'. '", "'.' || chr(10)", "chr(10)", "' '"))}
+SELECT doc_id, no, CAST(length(piece) AS INTEGER) AS chars, 'p' || no || '-' || substr(sha1(piece), 1, 10) AS piece_id FROM cut""",
+)
 def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = structure.ChunkRules(stops=(". ", ".\n", "\n", " "))
     pieces = structure.chunk_windows(_documents(spark, sf_dir, "doc_id", "text"), rules)
     return pieces.select("doc_id", "no", F.length("piece").alias("chars"), T.content_id(F.col("no"), F.col("piece")).alias("piece_id"))
 
 
-@register("structural_chunks")
+_CLAUSE = r"^(\d{1,2}(?:\.\d{1,2}){1,3})\s*(.*)$"
+
+
+@register(
+    "table_groups",
+    f"""WITH {_LINES}, rows AS (SELECT doc_id, idx, '| ' || idx || ' | ' || replace(bare, '|', chr(92) || '|') || ' |' AS line FROM lines WHERE bare <> ''),
+  sized AS (SELECT doc_id, idx, line, row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS r, greatest(4, 750 // (greatest(max(length(line)) OVER (PARTITION BY doc_id), 15) + 1)) AS g, sum(length(line) + 1) OVER (PARTITION BY doc_id) + 29 AS whole FROM rows),
+  pieces AS (SELECT doc_id, CASE WHEN whole <= 750 THEN 0 ELSE r // g END AS no, '| line | text |' || chr(10) || '| --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY idx) AS piece FROM sized GROUP BY ALL)
+SELECT doc_id, CAST(no AS INTEGER) AS no, sha1(piece) AS piece_sha1, CAST(length(piece) AS INTEGER) AS chars FROM pieces""",
+)
+def table_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every document as a table with their numbers, in groups of rows under the repeated head."""
+    lines = F.transform(T.split_lines(F.col("text")), lambda line, i: F.struct(i.alias("i"), T.strip(line).alias("line")))
+    rows = F.transform(F.filter(lines, lambda x: x["line"] != ""), lambda x: F.array(x["i"].cast("string"), x["line"]))
+    table_of = F.when(F.size(rows) > 0, F.concat(F.array(F.array(F.lit("line"), F.lit("text"))), rows))
+    pieces = _documents(spark, sf_dir, "doc_id", "text").select("doc_id", F.posexplode(structure.table_pieces(table_of)).alias("no", "piece"))
+    return pieces.select("doc_id", "no", F.sha1("piece").alias("piece_sha1"), F.length("piece").alias("chars"))
+
+
+@register(
+    "structural_chunks",
+    rf"""WITH RECURSIVE {_LINES}, items AS (
+    SELECT doc_id, 0 AS kind, idx, bare AS line FROM lines WHERE bare <> '' UNION ALL
+    SELECT doc_id, 1, 0, '| lang | source |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || lang || ' | ' || source || ' |' FROM documents),
+  typed AS (SELECT *, kind = 0 AND regexp_matches(line, '^([^ .]+)( [^ .]+)?\.$') AS chapter, kind = 0 AND regexp_matches(line, '^.{{1,30}}$') AS short, kind = 0 AND regexp_matches(line, '{_CLAUSE}') AS clause FROM items),
+  up AS (SELECT *, last_value(CASE WHEN chapter THEN line END IGNORE NULLS) OVER w AS c, count(*) FILTER (chapter) OVER w AS part, chapter OR short OR kind = 1 OR coalesce(lag(kind) OVER w, 0) = 1 AS hard FROM typed WINDOW w AS (PARTITION BY doc_id ORDER BY kind, idx)),
+  headed AS (SELECT *, last_value(CASE WHEN short AND NOT chapter THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id, part ORDER BY kind, idx) AS sec, count(*) FILTER (hard) OVER (PARTITION BY doc_id ORDER BY kind, idx) AS stretch FROM up),
+  body AS (SELECT *, CASE WHEN clause THEN regexp_extract(line, '{_CLAUSE}', 1) END AS number, CASE WHEN clause THEN trim(regexp_extract(line, '{_CLAUSE}', 2)) END AS rest FROM headed WHERE NOT chapter AND NOT short),
+  shown AS (SELECT *, CASE WHEN NOT clause THEN line WHEN length(rest) >= 30 THEN rest ELSE trim(number || ' ' || rest) END AS put, row_number() OVER (PARTITION BY doc_id ORDER BY kind, idx) AS nn, stretch <> lag(stretch) OVER (PARTITION BY doc_id ORDER BY kind, idx) AS fresh FROM body),
+  walk AS (
+    SELECT doc_id, nn, CAST(0 AS BIGINT) AS block, CAST(length(put) + 1 AS BIGINT) AS held, 0 AS spill FROM shown WHERE nn = 1
+    UNION ALL
+    SELECT doc_id, nn, before + spill, CASE WHEN spill = 1 THEN 0 ELSE had END + length(put) + 1, spill FROM (
+      SELECT *, CASE WHEN had > 0 AND had + length(put) > 750 THEN 1 ELSE 0 END AS spill FROM (
+        SELECT s.doc_id, s.nn, s.put, CASE WHEN fresh OR (clause AND held >= 300) THEN w.block + 1 ELSE w.block END AS before, CASE WHEN fresh OR (clause AND held >= 300) THEN 0 ELSE held END AS had
+        FROM walk w JOIN shown s ON s.doc_id = w.doc_id AND s.nn = w.nn + 1))),
+  placed AS (SELECT * FROM shown JOIN walk USING (doc_id, nn)),
+  notes AS (SELECT doc_id, block - spill AS block, arg_min(number, nn) AS first, arg_max(number, nn) AS last, arg_max(rest, nn) AS title FROM placed WHERE clause GROUP BY ALL),
+  blocks AS (SELECT doc_id, block, any_value(c) AS c, any_value(sec) AS sec, string_agg(put, chr(10) ORDER BY nn) AS content FROM placed GROUP BY doc_id, block),
+  src AS (SELECT {{'d': doc_id, 'b': block, 'path': concat_ws(' > ', c, sec, CASE WHEN first = last THEN trim(first || ' ' || title) ELSE first || '~' || last END)}} AS k, trim(content, {_SPACE}) AS s FROM blocks LEFT JOIN notes USING (doc_id, block)),
+  {_windows_sql("src", "k", ("'. '", "chr(10)"))}
+SELECT k.d AS doc_id, CAST(row_number() OVER (PARTITION BY k.d ORDER BY k.b, no) - 1 AS INTEGER) AS pos, 'p1-' || substr(sha1(CASE WHEN k.path = '' THEN piece ELSE '【' || k.path || '】' || chr(10) || piece END), 1, 10) AS id, k.path AS path, CAST(length(piece) AS INTEGER) AS char_len FROM cut""",
+)
 def structural_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as books of one page, with Latin headings and stops."""
-    rules = structure.ChunkRules(chapter=r"^([^ .]+)( [^ .]+)?\.$", section=r"^(.{1,30})()$", clause=r"^(\d{1,2}(?:\.\d{1,2}){1,3})\s*(.*)$", stops=(". ", "\n"))
-    pages = _documents(spark, sf_dir, "doc_id", "text").select("doc_id", F.lit(1).alias("page"), "text", F.array().cast("array<array<array<string>>>").alias("tables"), F.lit(False).alias("is_cover"), F.lit(False).alias("is_toc"))
+    """Documents as books of one page with a table each, with Latin headings and stops."""
+    rules = structure.ChunkRules(chapter=r"^([^ .]+)( [^ .]+)?\.$", section=r"^(.{1,30})()$", clause=_CLAUSE, stops=(". ", "\n"))
+    tables = F.array(F.array(F.array(F.lit("lang"), F.lit("source")), F.array("lang", "source")))
+    docs = _documents(spark, sf_dir, "doc_id", "text", "lang", "source")
+    pages = docs.select("doc_id", F.lit(1).alias("page"), "text", tables.alias("tables"), F.lit(False).alias("is_cover"), F.lit(False).alias("is_toc"))
     return structure.build_chunks(pages, rules).select("doc_id", "pos", "id", "path", "char_len")
 
 
@@ -104,11 +171,11 @@ _FOLDED = r"folded AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS t
 
 @register(
     "term_absence",
-    rf"""WITH {_FOLDED}, hits AS (SELECT item_id, doc_id FROM benchmark, folded WHERE contains(t, regexp_replace(substr(benchmark.text, 1, 60), '\s+', '', 'g')))
+    rf"""WITH {_FOLDED}, hits AS (SELECT item_id, doc_id FROM benchmark, folded WHERE contains(t, regexp_replace(benchmark.text, '\s+', '', 'g')))
 SELECT item_id AS term_id, count(doc_id) AS n_violations, coalesce(array_to_string(list_sort(list(doc_id) FILTER (doc_id IS NOT NULL))[1:3], ','), '') AS violators FROM benchmark LEFT JOIN hits USING (item_id) GROUP BY item_id""",
 )
 def term_absence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("term_id"), F.substring("text", 1, 60).alias("term"))
+    terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("term_id"), F.col("text").alias("term"))
     found = checks.absence(_documents(spark, sf_dir, F.col("doc_id").alias("id"), "text"), terms)
     return found.select("term_id", "n_violations", F.array_join(F.col("violators").cast("array<string>"), ",").alias("violators"))
 
