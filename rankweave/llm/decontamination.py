@@ -16,6 +16,8 @@ from rankweave.sources.tables import spread, table
 Q, EDITS = 10, 0.08
 #: Benchmark characters in one broadcast index; code points scanned at once.
 INDEX_CHARS, CHUNK = 2_000_000, 1_000_000
+#: Shared q-grams that are held at once, by place in text and passage.
+HITS = 4_000_000
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _BREAK = np.uint32(0xFFFFFFFF)
@@ -90,20 +92,22 @@ class PassageIndex:
         self.seen = np.zeros(1 << bits, bool)
         self.seen[(self.values >> self.shift).astype(np.int64)] = True
 
-    def _hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place in ``codes``, passage, place in the passage of every shared q-gram."""
+    def hits(self, codes: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Place in ``codes``, passage, place in the passage of every shared q-gram; None where there are more than ``most``."""
         hashed = grams(codes, self.q)
         at = np.flatnonzero(self.seen[(hashed >> self.shift).astype(np.int64)])
         found = np.minimum(np.searchsorted(self.values, hashed[at]), max(0, len(self.values) - 1))
         same = self.values[found] == hashed[at] if len(self.values) else np.zeros(0, bool)
         at, found = at[same], found[same]
         many = self.many[found]
+        if most is not None and many.sum() > most:
+            return None
         entry = np.repeat(self.first[found] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(at) else np.zeros(0, np.int64)
         return np.repeat(at, many), self.item[entry], self.place[entry]
 
-    def regions(self, codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(text, passage, from, to) of the diagonal bands with enough q-grams; ``starts`` are the texts' places in ``codes``."""
-        at, item, place = self._hits(codes)
+    def regions(self, hits: tuple[np.ndarray, np.ndarray, np.ndarray], starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, passage, from, to) of the diagonal bands with enough q-grams; ``starts`` are the places of the texts that were scanned."""
+        at, item, place = hits
         if not len(at):
             return
         text = np.searchsorted(starts, at, "right") - 1
@@ -154,7 +158,18 @@ def matches(index: PassageIndex, texts: list[str | None]) -> list[dict[int, tupl
     def flush(parts: list[tuple[int, int, np.ndarray]]) -> None:
         codes = np.concatenate([x for _, _, p in parts for x in (p, np.array([_BREAK], np.uint32))])
         starts = np.concatenate([[0], np.cumsum([len(p) + 1 for _, _, p in parts])[:-1]])
-        for part, passage, low, high in index.regions(codes, starts):
+        whole = len(parts) == 1 and len(codes) <= 4 * reach
+        hits = index.hits(codes, None if whole else HITS)
+        if hits is None:  # very repetitive texts: in halves, which overlap where one text is parted
+            if len(parts) > 1:
+                flush(parts[: len(parts) // 2])
+                flush(parts[len(parts) // 2 :])
+            else:
+                (k, at, piece), half = parts[0], len(parts[0][2]) // 2
+                flush([(k, at, piece[: half + reach])])
+                flush([(k, at + half, piece[half:])])
+            return
+        for part, passage, low, high in index.regions(hits, starts):
             text, offset, own = parts[part]
             low, high = low - int(starts[part]), min(len(own), high - int(starts[part]))
             target, e = index.codes[passage], int(index.edits[passage])

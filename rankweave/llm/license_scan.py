@@ -5,6 +5,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,33 +19,75 @@ from rankweave.sources.tables import spread, table
 #: Share of a template's words that a notice must cover.
 COVERAGE = 0.8
 
-#: Common short notices and the standard headers of public licenses.
-TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    (
+class Template(NamedTuple):
+    """A notice of a license; ``required`` are words of it without which nothing else counts."""
+
+    name: str
+    text: str
+    required: tuple[str, ...] = ()
+
+
+_CC = "This work is licensed under a Creative Commons {} International License."
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by "
+    "the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+)
+_AS_IS = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+    "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+    '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
+    "publish, distribute, sublicense, and/or sell copies of the Software"
+)
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_BSD_TWO = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution."
+)
+_BSD_THREE = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission."
+)
+
+#: Common short notices, the standard headers and the whole short texts of public licenses.
+TEMPLATES: tuple[Template, ...] = (
+    Template("Apache-2.0", "Licensed under the Apache License, Version 2.0.", ("apache",)),
+    Template(
         "Apache-2.0",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        ("apache",),
     ),
-    ("MIT", "Released under the MIT License."),
-    (
-        "MIT",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
-        '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
-        "publish, distribute, sublicense, and/or sell copies of the Software",
-    ),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    (
-        "GPL-3.0",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    (
-        "BSD",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    ),
+    Template("MIT", "Released under the MIT License.", ("mit",)),
+    Template("MIT", _MIT),
+    Template("MIT", f"{_MIT}, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_AS_IS}"),
+    Template("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", ("fee",)),
+    Template("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", ("gnu", "3")),
+    Template("GPL-2.0", "This work is licensed under the GNU General Public License, version 2.", ("gnu", "2")),
+    Template("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3.", ("gnu", "lesser", "3")),
+    Template("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3.", ("gnu", "affero", "3")),
+    Template("GPL-3.0", _GNU.format("General Public License", 3), ("gnu", "3")),
+    Template("GPL-2.0", _GNU.format("General Public License", 2), ("gnu", "2")),
+    Template("LGPL-3.0", _GNU.format("Lesser General Public License", 3), ("gnu", "lesser", "3")),
+    Template("LGPL-2.1", _GNU.format("Lesser General Public License", "2.1"), ("gnu", "lesser", "2")),
+    Template("AGPL-3.0", _GNU.format("Affero General Public License", 3), ("gnu", "affero", "3")),
+    Template("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", ("mozilla",)),
+    Template("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", ("cc", "nc")),
+    Template("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", ("cc", "sa")),
+    Template("CC-BY-4.0", "Licensed under CC BY 4.0.", ("cc", "by")),
+    Template("CC-BY-4.0", _CC.format("Attribution 4.0"), ("commons", "attribution")),
+    Template("CC-BY-SA-4.0", _CC.format("Attribution-ShareAlike 4.0"), ("commons", "sharealike")),
+    Template("CC-BY-NC-4.0", _CC.format("Attribution-NonCommercial 4.0"), ("commons", "noncommercial")),
+    Template("CC-BY-ND-4.0", _CC.format("Attribution-NoDerivatives 4.0"), ("commons", "noderivatives")),
+    Template("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.", ("dedicated", "domain")),
+    Template("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software", ("unencumbered",)),
+    Template("BSD", _BSD),
+    Template("BSD-2-Clause", f"{_BSD}: {_BSD_TWO}", ("redistributions",)),
+    Template("BSD-3-Clause", f"{_BSD}: {_BSD_TWO} {_BSD_THREE}", ("redistributions", "endorse")),
 )
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -94,24 +137,35 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 class LicenseScanner:
-    """Finds the templates that a text covers, window by window."""
+    """Finds the places of a text that cover a template, window by window."""
 
-    def __init__(self, templates: Iterable[tuple[str, str]] = TEMPLATES, coverage: float = COVERAGE) -> None:
-        self.names, self.coverage = [n for n, _ in templates], coverage
-        split = [[w.lower() for w in _WORD.findall(t)] for _, t in templates]
+    def __init__(self, templates: Iterable[tuple] = TEMPLATES, coverage: float = COVERAGE) -> None:
+        templates = [Template(*t) for t in templates]
+        self.names, self.coverage = [t.name for t in templates], coverage
+        split = [[w.lower() for w in _WORD.findall(t.text)] for t in templates]
         if not all(split):
             raise ValueError("a template without words")
         self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for ws in split for w in ws))}
         self.codes = [[self.vocabulary[w] for w in ws] for ws in split]
+        self.required = [{self.vocabulary[w] for w in t.required} for t in templates]
         self.weight = np.zeros((len(split), len(self.vocabulary)))
         for t, codes in enumerate(self.codes):
             np.add.at(self.weight[t], codes, 1)
         self.need = np.ceil(np.array([len(c) for c in self.codes]) * coverage - 1e-9)
 
+    def notice(self, window: list[int], t: int) -> list[tuple[int, int]]:
+        """The aligned places of a window with template ``t``; none where it covers too little or lacks a required word."""
+        own = self.codes[t]
+        pairs = patience(window, own)
+        if len(pairs) < self.need[t] or not self.required[t] <= {own[j] for _, j in pairs}:
+            return []
+        return pairs
+
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(license, coverage, start, end) of the best notice of each license, places in characters.
+        """(license, coverage, start, end) of every notice, by place in characters.
 
-        Only windows of twice a template's length are aligned, and only where they hold enough of its words.
+        Only windows of twice a template's length are aligned, and only where they hold enough of its words. Where notices
+        overlap, the one with the most words covered counts, then the higher coverage, then the earlier place.
         """
         if not text:
             return []
@@ -122,17 +176,18 @@ class LicenseScanner:
         if not spans:
             return []
         codes = np.array([self.vocabulary.get(shown[s:e].lower(), -1) for s, e in spans])
-        best: dict[str, tuple[float, int, int, int]] = {}
+        found = set()
         for t, own in enumerate(self.codes):
-            n = len(own)
             for at in self._windows(codes, t):
-                window = codes[at : at + 2 * n]
-                pairs = patience(window.tolist(), own)
-                share = len(pairs) / n
-                if len(pairs) >= self.need[t]:
-                    found = (share, n, -spans[at + pairs[0][0]][0], spans[at + pairs[-1][0]][1])
-                    best[self.names[t]] = max(found, best.get(self.names[t], found))
-        return [(name, share, -start, end) for name, (share, _, start, end) in sorted(best.items())]
+                if pairs := self.notice(codes[at : at + 2 * len(own)].tolist(), t):
+                    found.add((-len(pairs), -len(pairs) / len(own), at + pairs[0][0], at + pairs[-1][0], self.names[t]))
+        kept: list[tuple[str, float, int, int]] = []
+        taken = np.zeros(len(spans), bool)
+        for _, share, first, last, name in sorted(found):
+            if not taken[first : last + 1].any():
+                taken[first : last + 1] = True
+                kept.append((name, -share, spans[first][0], spans[last][1]))
+        return sorted(kept, key=lambda r: r[2])
 
     def _may_match(self, text: str) -> bool:
         present = np.zeros(len(self.vocabulary))
@@ -159,12 +214,14 @@ def _scan(templates, coverage: float):
     return scan
 
 
-def scan_licenses(docs: DataFrame, templates: Iterable[tuple[str, str]] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
-    """doc_id, license, coverage, start, end: the best notice of every license that a document holds.
+def scan_licenses(docs: DataFrame, templates: Iterable[tuple] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
+    """doc_id, license, coverage, start, end of every license notice that a document holds.
 
     Words are runs of letters and digits in lower case; a notice covers at least ``coverage`` of a template's words in
-    order. Of equal coverage the longer template counts, then the earlier place. Whole texts are scanned; null or empty
-    ones hold nothing; equal rows each have their results; other columns are ignored; an empty table gives no rows.
+    order, its required words among them. Of notices that overlap, that with the most words covered counts, then the higher
+    coverage, then the earlier place. ``templates`` are (name, text) or (name, text, required words). Whole texts are
+    scanned; null or empty ones hold nothing; equal rows each have their results; other columns are ignored; an empty table
+    gives no rows.
     """
     docs = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return docs.mapInArrow(_scan(tuple(templates), coverage), "doc_id long, license string, coverage double, start long, end long")

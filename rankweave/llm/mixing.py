@@ -15,6 +15,13 @@ MOST, WEIGHTS = 3, (1, 2, 3)
 #: Documents of a source that are rounded one after another.
 RUN = 4000
 STEPS = 60
+#: Most sources that are broadcast (about 100 MB).
+SENT = 1_000_000
+
+
+def _sent(sources: DataFrame) -> DataFrame:
+    """A table of a row for each source: it goes to the documents while it is small, so that a hot source is not dealt to one task."""
+    return F.broadcast(sources) if sources.count() <= SENT else sources
 
 
 def size_of(text: Column) -> Column:
@@ -58,7 +65,7 @@ def tilts(tally: DataFrame, sources: DataFrame) -> DataFrame:
     state = sources.where("target > 0 and target < source_size * 3").selectExpr("sid", "target", "0D tilt", "-1D low", "1D high", "false low_found", "false high_found", "false done")
     state = checkpointed(state)
     for _ in range(STEPS):
-        rows = tally.join(state.where("not done"), "sid")
+        rows = tally.join(_sent(state.where("not done")), "sid")
         rate = _rate(F.col("tilt"), F.col("z"))
         exact = lambda c: F.sum(c.cast("decimal(38,9)")).cast("double")
         sums = rows.groupBy("sid").agg(
@@ -107,10 +114,10 @@ def mix(sized: DataFrame, corrections: int = 4) -> DataFrame:
     """
     sized = checkpointed(sized)
     sources = checkpointed(source_targets(sized))
-    docs = checkpointed(sized.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("sid", "d.doc_id", "d.source", "d.size", "d.no", "source_size", "docs", "target"))
+    docs = checkpointed(sized.alias("d").join(_sent(sources).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("sid", "d.doc_id", "d.source", "d.size", "d.no", "source_size", "docs", "target"))
     z = F.col("size") * F.col("docs") / F.col("source_size")
     tally = checkpointed(docs.where("size > 0").groupBy("sid", "size", "docs", "source_size").agg(F.count("*").alias("n")).select("sid", "size", "n", z.alias("z")))
-    rated = docs.join(tilts(tally, sources), "sid", "left")
+    rated = docs.join(_sent(tilts(tally, sources)), "sid", "left")
     rate = F.when(F.col("size") == 0, 1.0).when(F.col("target") >= F.col("source_size") * MOST, float(MOST)).otherwise(_rate(F.col("tilt"), z))
     rated = rated.withColumn("rate", rate.cast("decimal(18,9)")).withColumn("run", F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("docs") / RUN)))
     own = Window.partitionBy("sid", "run").orderBy("size", F.xxhash64("doc_id"), "doc_id", "no").rowsBetween(Window.unboundedPreceding, 0)
@@ -124,7 +131,7 @@ def mix(sized: DataFrame, corrections: int = 4) -> DataFrame:
         if lack.where("lack <> 0").isEmpty():
             break
         able = (F.col("size") > 0) & (F.col("size") <= F.abs("lack")) & F.when(F.col("lack") > 0, F.col("copies") < MOST).otherwise(F.col("copies") > 0)
-        near = mixed.join(lack, "sid").withColumn("place", F.xxhash64("doc_id", "size", "no", F.lit(turn)))
+        near = mixed.join(_sent(lack), "sid").withColumn("place", F.xxhash64("doc_id", "size", "no", F.lit(turn)))
         near = near.withColumn("run", F.pmod("place", F.ceil(F.col("docs") / RUN))).withColumn("step", F.when(able, F.col("size")).otherwise(0))
         near = _before(near, "run", ["place", "doc_id", "no"], "step", "passed")
         change = F.when((F.col("step") > 0) & (F.col("passed") + F.col("step") <= F.abs("lack")), F.signum("lack").cast("long")).otherwise(0)

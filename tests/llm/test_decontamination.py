@@ -84,3 +84,12 @@ def test_blocks_and_empty_tables(spark, monkeypatch):
     assert dc.keep_clean(docs, benchmark).count() == 0
     assert dc.find_passages(docs.limit(0), benchmark).count() == 0
     assert dc.find_passages(docs, benchmark.limit(0)).count() == 0
+
+
+def test_repetitive_texts_are_scanned_in_parts(monkeypatch):
+    passage = "ab" * 150
+    texts = ["xyz " * 500 + "ab" * 4000 + " end of it " * 300, "ba" * 3000, "b" * 5000, "q" * 40 + passage + "q" * 40]
+    index = dc.PassageIndex([(1, passage)])
+    whole = dc.matches(index, texts)
+    monkeypatch.setattr(dc, "HITS", 50_000)
+    assert [set(m) for m in dc.matches(index, texts)] == [set(m) for m in whole] == [{0}, {0}, set(), {0}]

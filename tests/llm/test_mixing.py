@@ -56,3 +56,27 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], T.StructType.fromDDL("doc_id long, source string, text string"))
     assert mx.mix(mx.sized_documents(docs)).count() == 0
     assert mx.mixed_documents(docs).count() == 0
+
+
+def test_tilts_solve_the_dual(spark):
+    """Each tilt by halving an interval."""
+    from math import exp
+
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sized = mx.sized_documents(docs)
+    sources = mx.source_targets(sized)
+    z = F.col("size") * F.col("docs") / F.col("source_size")
+    tally = sized.join(sources, "source").where("size > 0").groupBy("sid", "size", "docs", "source_size").agg(F.count("*").alias("n")).select("sid", "size", "n", z.alias("z"))
+    got = {r.sid: r.tilt for r in mx.tilts(tally, sources).collect()}
+    target = {r.sid: r.target for r in sources.collect()}
+    assert got
+    for sid, tilt in got.items():
+        rows = [r for r in tally.collect() if r.sid == sid]
+        taken = lambda t: sum(r.n * r.size * min(3.0, exp(min(t * r.z, 2.0))) for r in rows)
+        low, high = -200.0, 200.0
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (low, middle) if taken(middle) > target[sid] else (middle, high)
+        assert taken(tilt) == pytest.approx(target[sid], rel=1e-6) and tilt == pytest.approx(low, abs=1e-3)
