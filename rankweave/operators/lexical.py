@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from rankweave.session import stored
+
 K1, B, NEGATIVE_IDF, TOP_K = 1.5, 0.75, 0.25, 20
 _GAP = r"[^\p{L}\p{N}]+"
 _RUN = r"([\p{IsHan}]+|[\p{L}\p{N}&&[^\p{IsHan}]]+)"
@@ -24,41 +26,47 @@ def tokens(text: Column, han_bigrams: bool = False) -> Column:
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """postings (id, term, tf) and lengths (id, pos, length); ``pos`` is the corpus order that breaks ties."""
+    """postings (id, pos, term, tf, length), documents (id, pos, length) and terms (term, idf); ``pos`` is the corpus order that breaks ties.
+
+    ``mean`` is the mean length. Every table is written once, so questions read it and cut no text again.
+    """
 
     postings: DataFrame
-    lengths: DataFrame
+    documents: DataFrame
+    terms: DataFrame
+    mean: float
     han_bigrams: bool = False
 
 
 def build_index(corpus: DataFrame, han_bigrams: bool = False) -> LexicalIndex:
-    """``corpus`` has id, pos and text. Every text is cut into terms once."""
-    words = tokens(F.col("text"), han_bigrams)
-    postings = corpus.select("id", F.explode(words).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    return LexicalIndex(postings, corpus.select("id", "pos", F.size(words).alias("length")), han_bigrams)
-
-
-def inverse_frequencies(index: LexicalIndex) -> DataFrame:
-    """(term, idf): Okapi, with a share of the mean where it would be negative."""
-    size = index.lengths.agg(F.count("*").alias("n"))
-    df = index.postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(size)).select("term", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
-    floor = raw.agg((F.avg("raw") * NEGATIVE_IDF).alias("floor"))
-    return raw.crossJoin(F.broadcast(floor)).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    """``corpus`` has id, pos and text. Every text is cut into terms once; postings are written in the order of terms.
+
+    Inverse frequencies are Okapi's, with a share of their mean where they would be negative.
+    """
+    cut = corpus.select("id", "pos", tokens(F.col("text"), han_bigrams).alias("terms"))
+    cut = stored(cut.withColumn("length", F.size("terms")), "terms")
+    documents = cut.select("id", "pos", "length")
+    size = documents.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).head()
+    postings = cut.select("id", "pos", "length", F.explode("terms").alias("term")).groupBy("id", "pos", "length", "term").agg(F.count("*").alias("tf"))
+    postings = stored(postings.repartition("term").sortWithinPartitions("term"), "postings")
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    raw = stored(df.select("term", F.ln((F.lit(size["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw")), "frequencies")
+    floor = (raw.agg(F.avg("raw")).head()[0] or 0.0) * NEGATIVE_IDF
+    terms = raw.select("term", F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw")).alias("idf"))
+    return LexicalIndex(postings, documents, terms, size["mean"] or 0.0, han_bigrams)
 
 
 def bm25_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
-    """(qid, id, score) for ``queries`` (qid, text): only postings of the queries' terms are read on; a repeated term counts again."""
+    """(qid, id, pos, score) for ``queries`` (qid, text): only postings of the queries' terms are read on; a repeated term counts again."""
     asked = queries.select("qid", F.explode(tokens(F.col("text"), index.han_bigrams)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    weighted = asked.join(inverse_frequencies(index), "term")
-    mean = index.lengths.agg(F.avg("length").alias("mean"))
-    hits = index.postings.join(weighted, "term").join(index.lengths.select("id", "length"), "id").crossJoin(F.broadcast(mean))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return hits.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    weighted = asked.join(index.terms, "term").select("qid", "term", (F.col("times") * F.col("idf")).alias("weight"))
+    # a term's share in a document's score is the same for every question, so it is taken before questions meet it
+    share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(index.mean)))
+    hits = index.postings.select("term", "id", "pos", share.alias("share")).join(weighted, "term")
+    return hits.groupBy("qid", "id", "pos").agg(F.round(F.sum(F.col("weight") * F.col("share")), 6).alias("score"))
 
 
 def bm25_rank(index: LexicalIndex, queries: DataFrame, k: int | None = TOP_K) -> DataFrame:
     """(qid, id, score, rank): positive scores only, ties in corpus order, at most ``k`` for each query."""
-    scored = bm25_scores(index, queries).where("score > 0").join(index.lengths.select("id", "pos"), "id")
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "pos")))
+    ranked = bm25_scores(index, queries).where("score > 0").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "pos")))
     return (ranked if k is None else ranked.where(F.col("rank") <= k)).select("qid", "id", "score", "rank")

@@ -9,6 +9,7 @@ from rankweave.operators import context, dense, fusion, metrics, perturb
 from rankweave.operators.lexical import LexicalIndex, bm25_rank, build_index
 from rankweave.operators.retrieve import neighbours
 from rankweave.plans.registry import register
+from rankweave.session import stored
 from rankweave.sources.tables import spread, table
 
 KS = (1, 3, 5, 8, 20)
@@ -33,16 +34,17 @@ def _bm25_sql(queries: str, k: int = 20) -> str:
   ranked AS (SELECT * FROM (SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank FROM scored WHERE score > 0) WHERE rank <= {k})"""
 
 
-_SHORT = "SELECT item_id AS qid, substr(text, 1, 16) AS text FROM benchmark"
+_ITEMS = "SELECT item_id AS qid, text FROM benchmark"
 _GOLD = "gold AS (SELECT DISTINCT item_id AS qid, doc_id AS id FROM benchmark, documents WHERE contains(documents.text, benchmark.text))"
 
 
-def _dense_sql(first: int | None = None) -> str:
-    """near(qid, id, score, rank): vectors by the dot product with every hundredth, over the first dimensions or all."""
-    cut = "embedding" if first is None else f"embedding[1:{first}]"
-    return f"""
-    SELECT q.vec_id AS qid, v.vec_id AS id, round(list_dot_product(CAST(q.{cut} AS DOUBLE[]), CAST(v.{cut} AS DOUBLE[])), 6) AS score
-    FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0"""
+_DOT = "list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))"
+_NEAR = "-list_sum(list_transform(generate_series(1, len(q.embedding)), lambda i: abs(CAST(q.embedding[i] AS DOUBLE) - CAST(v.embedding[i] AS DOUBLE))))"
+
+
+def _dense_sql(score: str = _DOT) -> str:
+    """(qid, id, score) of all vectors with every hundredth."""
+    return f"SELECT q.vec_id AS qid, v.vec_id AS id, round({score}, 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0"
 
 
 def _top_sql(scores: str, k: int = 20) -> str:
@@ -51,7 +53,7 @@ def _top_sql(scores: str, k: int = 20) -> str:
 
 def _fused_sql() -> str:
     return f"""
-  one AS ({_top_sql(_dense_sql())}), two AS ({_top_sql(_dense_sql(8))}),
+  one AS ({_top_sql(_dense_sql())}), two AS ({_top_sql(_dense_sql(_NEAR))}),
   ranks AS (SELECT qid, 0 AS channel_no, id, rank FROM one UNION ALL SELECT qid, 1, id, rank FROM two),
   scores AS (SELECT qid, id, round(sum(1.0 / (60 + rank)), 12) AS rrf, min(channel_no * 1000 + rank) AS first FROM ranks GROUP BY ALL),
   fused AS (SELECT qid, id, rrf, CAST(row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, first) AS INTEGER) AS fused_rank FROM scores)"""
@@ -69,9 +71,8 @@ def _index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
     return build_index(_documents(spark, sf_dir).select("id", "pos", "text"))
 
 
-def _items(spark: SparkSession, sf_dir: str, chars: int | None = None) -> DataFrame:
-    text = F.col("text") if chars is None else F.substring("text", 1, chars)
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), text.alias("text"))
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,25 +85,25 @@ def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = items.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block)
         hit = docs.join(F.broadcast(own), F.contains("body", F.col("text"))).select("qid", "id")
         found = hit if found is None else found.unionAll(hit)
-    return found.distinct()
+    return stored(found.distinct(), "gold")
 
 
-def _vectors(spark: SparkSession, sf_dir: str, first: int | None = None) -> tuple[DataFrame, DataFrame]:
-    embedding = F.col("embedding") if first is None else F.slice("embedding", 1, first)
-    vectors = spread(table(spark, sf_dir, "embeddings").select("vec_id", embedding.alias("embedding")))
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    vectors = spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return vectors.select(F.col("vec_id").alias("id"), "embedding"), vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding")
 
 
 def _two_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranks by all dimensions and by the first eight."""
+    """Ranks by the dot product and by the sum of differences."""
     one = dense.dense_rank(*_vectors(spark, sf_dir)).select("qid", F.lit(0).alias("channel_no"), "id", "rank")
-    two = dense.dense_rank(*_vectors(spark, sf_dir, 8)).select("qid", F.lit(1).alias("channel_no"), "id", "rank")
+    two = dense.dense_rank(*_vectors(spark, sf_dir), score=dense.nearness).select("qid", F.lit(1).alias("channel_no"), "id", "rank")
     return one.unionByName(two)
 
 
-def _short_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = bm25_rank(_index(spark, sf_dir), _items(spark, sf_dir, 16))
-    return metrics.judged(hits, _gold(spark, sf_dir))
+def _judgements(spark: SparkSession, sf_dir: str, gold: DataFrame) -> DataFrame:
+    """Ranks of the items that some document holds; the others have nothing to find."""
+    asked = _items(spark, sf_dir).join(gold.select("qid").distinct(), "qid", "left_semi")
+    return metrics.judged(bm25_rank(_index(spark, sf_dir), asked), gold)
 
 
 # ---------------------------------------------------------------- queries
@@ -140,7 +141,7 @@ def evidence_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GAIN = "(SELECT sum(1 / log2(i + 1)) FROM generate_series(1, least(n_gold, k)) t(i))"
-_METRICS = f"""WITH {_bm25_sql(_SHORT)}, {_GOLD},
+_METRICS = f"""WITH {_bm25_sql(_ITEMS)}, {_GOLD},
   sizes AS (SELECT qid, count(*) AS n_gold FROM gold GROUP BY qid),
   grid AS (SELECT qid, n_gold, k FROM sizes, (VALUES (1), (3), (5), (8), (20)) t(k)),
   found AS (SELECT qid, rank FROM ranked SEMI JOIN gold USING (qid, id)),
@@ -153,20 +154,20 @@ _MEANS = "count(*) AS n, round(avg(hit), 6) AS hit, round(avg(recall), 6) AS rec
 
 @register("ir_metrics_at_k", f"{_METRICS} SELECT CAST(k AS INTEGER) AS k, {_MEANS} FROM each GROUP BY k")
 def ir_metrics_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.summary(metrics.per_query(_short_judgements(spark, sf_dir), KS))
+    return metrics.summary(metrics.per_query(_judgements(spark, sf_dir, _gold(spark, sf_dir)), KS))
 
 
 @register("ir_metrics_by_slice", f"{_METRICS}, slices AS (SELECT qid, min(lang) AS slice FROM gold JOIN documents ON id = doc_id GROUP BY qid) SELECT slice, CAST(k AS INTEGER) AS k, {_MEANS} FROM each JOIN slices USING (qid) GROUP BY slice, k")
 def ir_metrics_by_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold = _gold(spark, sf_dir)
     slices = gold.join(_documents(spark, sf_dir).select("id", "lang"), "id").groupBy("qid").agg(F.min("lang").alias("slice"))
-    return metrics.summary(metrics.per_query(_short_judgements(spark, sf_dir), KS).join(slices, "qid"), ["slice"])
+    return metrics.summary(metrics.per_query(_judgements(spark, sf_dir, gold), KS).join(slices, "qid"), ["slice"])
 
 
-@register("retrieval_failures", f"WITH {_bm25_sql(_SHORT)}, {_GOLD} SELECT qid, CAST(min(rank) AS INTEGER) AS first_rank FROM (SELECT DISTINCT qid FROM gold) LEFT JOIN (SELECT qid, rank FROM ranked SEMI JOIN gold USING (qid, id)) USING (qid) GROUP BY qid HAVING coalesce(min(rank), 99) > 1")
+@register("retrieval_failures", f"WITH {_bm25_sql(_ITEMS)}, {_GOLD} SELECT qid, CAST(min(rank) AS INTEGER) AS first_rank FROM (SELECT DISTINCT qid FROM gold) LEFT JOIN (SELECT qid, rank FROM ranked SEMI JOIN gold USING (qid, id)) USING (qid) GROUP BY qid HAVING coalesce(min(rank), 99) > 1")
 def retrieval_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items whose documents are not found first."""
-    return metrics.failures(_short_judgements(spark, sf_dir), k=1)
+    return metrics.failures(_judgements(spark, sf_dir, _gold(spark, sf_dir)), k=1)
 
 
 _VARIANTS = r"""
@@ -194,8 +195,9 @@ SELECT variant, count(*) AS n, round(avg(hits / n_gold), 6) AS recall, round(avg
 )
 def variant_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = perturb.explode_variants(_items(spark, sf_dir), "[A-Za-z]", _FRAME)
-    hits = bm25_rank(_index(spark, sf_dir), asked.select(F.struct("qid", "variant").alias("qid"), "text"), 5)
     gold = _gold(spark, sf_dir)
+    asked = asked.join(gold.select("qid").distinct(), "qid", "left_semi")
+    hits = bm25_rank(_index(spark, sf_dir), asked.select(F.struct("qid", "variant").alias("qid"), "text"), 5)
     wanted = asked.select("qid", "variant").join(gold, "qid").select(F.struct("qid", "variant").alias("qid"), "id")
     per = metrics.per_query(metrics.judged(hits, wanted), (5,), 5)
     return per.groupBy("qid.variant").agg(F.count("*").alias("n"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("rr"), 6).alias("mrr"))
