@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from rankweave.functions.text import NUMERIC_FACT, bigrams, citations, contains_any, numeric_facts, without_space
+from rankweave.session import stored
 
 DUPLICATE, MIN_FACTS, FIRST = 0.55, 2, 3
 #: Terms looked for in one pass over the texts.
@@ -76,7 +77,7 @@ def similar_pairs(questions: DataFrame, least: float = DUPLICATE, dropped: str |
     sets share one, are joined; the sets themselves then decide.
     """
     grams = bigrams(F.col("text")) if dropped is None else bigrams(F.col("text"), dropped)
-    sets = questions.select("id", grams.alias("grams")).where(F.size("grams") > 0)
+    sets = stored(questions.select("id", grams.alias("grams")).where(F.size("grams") > 0), "sets")
     each = sets.select("id", F.size("grams").alias("n"), F.explode("grams").alias("g"))
     counted = each.join(each.groupBy("g").count(), "g")
     place = F.row_number().over(Window.partitionBy("id").orderBy("count", "g"))
@@ -86,8 +87,8 @@ def similar_pairs(questions: DataFrame, least: float = DUPLICATE, dropped: str |
     pairs = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.id") < F.col("b.id")) & (smaller >= larger * least)).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).distinct()
     full = pairs.join(sets.select(F.col("id").alias("left_id"), F.col("grams").alias("x")), "left_id").join(sets.select(F.col("id").alias("right_id"), F.col("grams").alias("y")), "right_id")
     both = F.size(F.array_intersect("x", "y"))
-    similarity = both / (F.size("x") + F.size("y") - both)
-    return full.select("left_id", "right_id", F.round(similarity, 6).alias("similarity")).where(F.col("similarity") >= least)
+    union = F.size("x") + F.size("y") - both
+    return full.where(both >= F.lit(least) * union).select("left_id", "right_id", F.round(both / union, 6).alias("similarity"))
 
 
 def gold_candidates(answers: DataFrame, chunks: DataFrame, pattern: str = NUMERIC_FACT, least: int = MIN_FACTS, first: int = FIRST) -> DataFrame:

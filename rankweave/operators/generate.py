@@ -42,12 +42,17 @@ USAGE = "array<struct<attempt:int,max_tokens:int,prompt_tokens:bigint,completion
 def attempt(client: Client, context: str, question: str, evidence: bool = True) -> tuple[str | None, str, list[tuple]]:
     """(answer, status, usage) after up to ATTEMPTS replies with doubled budgets.
 
-    An empty or cut reply is tried again; the last cut reply counts only outside evidence mode. Unknown usage stays null.
+    An empty or cut reply is tried again, and so is a client that raises: its error and its status code, if it has one,
+    are kept in the usage. The last cut reply counts only outside evidence mode. Unknown usage stays null.
     """
     usage, best = [], None
     for n in range(ATTEMPTS):
         budget = min(FIRST_TOKENS << n, MOST_TOKENS)
-        reply = client(context, question, budget)
+        try:
+            reply = client(context, question, budget)
+        except Exception as fault:  # whatever the injected client raises is an attempt that failed
+            code = getattr(fault, "status_code", None)
+            reply = Reply(None, error=f"{type(fault).__name__}: {fault}"[:500], status_code=code if isinstance(code, int) else None)
         usage.append((n + 1, budget, reply.prompt_tokens, reply.completion_tokens, reply.finish_reason, reply.error, reply.status_code))
         if reply.status_code in FATAL:
             return None, "generation_failed", usage

@@ -16,7 +16,7 @@ FRAMES: dict[str, str] = {
     "noise_prefix": "顺便再问个事，{q}，谢谢！",
     "english_mix": "Hi，想问下 {q}",
 }
-#: Inputs that must neither fail nor be refused.
+#: Inputs that must neither fail nor be refused.
 BOUNDARY: dict[str, str] = {
     "empty": "",
     "whitespace": "   \t\n  ",

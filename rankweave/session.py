@@ -28,11 +28,12 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset on one machine."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
-        current = spark.sparkContext.getCheckpointDir()
-        configured = current or f"file://{tempfile.mkdtemp(prefix='rankweave-')}"
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        configured = f"file://{tempfile.mkdtemp(prefix='rankweave-')}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")
