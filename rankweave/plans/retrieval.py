@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankweave.operators import context, dense, fusion, metrics, perturb
 from rankweave.operators.lexical import LexicalIndex, bm25_rank, build_index
-from rankweave.operators.retrieve import neighbours
+from rankweave.operators.retrieve import lexical_ranker, neighbours, retrieve
 from rankweave.plans.registry import register
 from rankweave.session import stored
 from rankweave.sources.tables import spread, table
@@ -239,3 +239,82 @@ def context_greedy_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
     packed = turns.select("conv_id", context.greedy(F.transform("items", lambda x: F.struct(x["id"], x["head"], x["text"])), 1500, "source").alias("c"))
     return packed.select("conv_id", F.col("c.used").cast("long").alias("used"), F.array_join("c.ids", ",").alias("kept"))
+
+
+# ---------------------------------------------------------------- whole retrieval by strategy
+
+#: Terms of the made-up texts that stand for the topics of questions.
+_RULES = (fusion.Rule((("the",), ("ing", "ion")), ("thend andon", "erand thes")), fusion.Rule((("de",),), ("enein una",), prepend=True), fusion.Rule((("er",),), ("lich ein",), unless=("und", ("onat for",))))
+_QUESTIONS = """SELECT item_id * 10 + i - 1 AS qid, qs[i] AS text FROM (
+    SELECT item_id, list_concat([trim(text)], list_concat(list_concat(CASE WHEN contains(text, 'de') THEN ['enein una'] ELSE [] END, CASE WHEN contains(text, 'the') AND (contains(text, 'ing') OR contains(text, 'ion')) THEN ['thend andon', 'erand thes'] ELSE [] END),
+      CASE WHEN NOT contains(text, 'er') THEN [] WHEN contains(text, 'und') THEN ['onat for'] ELSE ['lich ein'] END))[1:3] AS qs FROM benchmark), unnest(generate_series(1, len(qs))) t(i)"""
+_RETRIEVED = f"""WITH {_bm25_sql(_QUESTIONS)},
+  sums AS (SELECT qid // 10 AS qid, id, round(sum(1.0 / (60 + rank)), 12) AS rrf, min((qid % 10 * 2 + 1) * 1000 + rank) AS first, min(rank) FILTER (qid % 10 = 0) AS bm25_rank, max(qid % 10) AS last_query FROM ranked GROUP BY qid // 10, id),
+  fused AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, first) AS fused_rank, count(*) OVER (PARTITION BY qid) AS candidate_count FROM sums)"""
+_SHOWN = "id, round(rrf, 6) AS rrf, bm25_rank, candidate_count"
+
+
+def _retrieved(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
+    corpus = _documents(spark, sf_dir).select("id", "pos", "text")
+    lexical = lexical_ranker(build_index(corpus))
+    hits = retrieve(_items(spark, sf_dir), corpus.select("id"), lexical=lexical, mode="bm25", strategy=strategy, rules=_RULES)
+    return hits.select("qid", F.col("rank").cast("int").alias("rank"), "id", "rrf", "bm25_rank", "candidate_count")
+
+
+@register("retrieval_expanded", f"{_RETRIEVED} SELECT qid, CAST(fused_rank AS INTEGER) AS rank, {_SHOWN} FROM fused WHERE fused_rank <= 8")
+def retrieval_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with the facets of the rules they meet, ranked each and fused."""
+    return _retrieved(spark, sf_dir, "expanded")
+
+
+@register(
+    "retrieval_guarded",
+    f"""{_RETRIEVED},
+  many AS (SELECT qid // 10 AS qid FROM ({_QUESTIONS}) GROUP BY qid // 10 HAVING count(*) > 1),
+  s0 AS (SELECT qid // 10 AS qid, id, rank AS o, 0 AS stage FROM ranked WHERE qid % 10 = 0 AND rank <= 3 AND qid // 10 IN (FROM many)),
+  s1 AS (SELECT qid, id, o, 1 AS stage FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY o) AS r FROM (SELECT qid // 10 AS qid, id, rank AS o FROM ranked WHERE qid % 10 = 1) t ANTI JOIN s0 USING (qid, id)) WHERE r <= 2),
+  s2 AS (SELECT qid, id, o, 2 AS stage FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY o) AS r FROM (SELECT qid // 10 AS qid, id, rank AS o FROM ranked WHERE qid % 10 = 2) t ANTI JOIN s0 USING (qid, id) ANTI JOIN s1 USING (qid, id)) WHERE r <= 2),
+  s3 AS (SELECT qid, id, fused_rank AS o, 3 AS stage FROM fused ANTI JOIN s0 USING (qid, id) ANTI JOIN s1 USING (qid, id) ANTI JOIN s2 USING (qid, id)),
+  picked AS (SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY stage, o) AS INTEGER) AS rank FROM (FROM s0 UNION ALL FROM s1 UNION ALL FROM s2 UNION ALL FROM s3))
+SELECT qid, rank, {_SHOWN} FROM picked JOIN fused USING (qid, id) WHERE rank <= 8""",
+)
+def retrieval_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with places kept for the facets."""
+    return _retrieved(spark, sf_dir, "guarded")
+
+
+@register(
+    "coverage_counts",
+    f"""WITH {_bm25_sql(_ITEMS)}, {_GOLD}, per AS (SELECT g.qid, count(DISTINCT g.id) AS n_gold, count(rank) FILTER (rank <= 3) AS in_3, count(rank) FILTER (rank <= 8) AS in_8 FROM gold g LEFT JOIN ranked r ON r.qid = g.qid AND r.id = g.id GROUP BY g.qid)
+SELECT 'bm25' AS mode, count(*) AS n, count(*) FILTER (in_3 > 0) AS any_3, count(*) FILTER (in_8 > 0) AS any_8, count(*) FILTER (in_8 = n_gold) AS full_8 FROM per""",
+)
+def coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of which some or all documents are among the first."""
+    gold = _gold(spark, sf_dir)
+    asked = _items(spark, sf_dir).join(gold.select("qid").distinct(), "qid", "left_semi")
+    hits = bm25_rank(_index(spark, sf_dir), asked).withColumn("mode", F.lit("bm25"))
+    return metrics.coverage_counts(hits, gold, ["mode"])
+
+
+@register("first_hits", f"SELECT qid, id, score, rank FROM ({_top_sql(_dense_sql())}) WHERE rank = 1")
+def first_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.first_hits(dense.dense_rank(*_vectors(spark, sf_dir)))
+
+
+@register(
+    "facet_orders",
+    f"""WITH scores AS (SELECT 0 AS channel, * FROM ({_dense_sql().replace("% 100 = 0", "% 100 <= 1")}) UNION ALL SELECT 1, * FROM ({_dense_sql(_NEAR).replace("% 100 = 0", "% 100 <= 1")})),
+  ranks AS (SELECT * FROM (SELECT channel, qid, id, row_number() OVER (PARTITION BY channel, qid ORDER BY score DESC, id) AS rank FROM scores) WHERE rank <= 20),
+  fused AS (SELECT qid, id, round(sum(1.0 / (60 + rank)), 12) AS rrf, min(channel * 1000 + rank) AS first, bool_or(channel = 1 AND rank = 1 AND qid % 100 = 1) AS anchor FROM ranks GROUP BY ALL),
+  ordered AS (SELECT qid, id, anchor, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, first) AS r FROM fused)
+SELECT qid - qid % 100 AS qid, CAST(qid % 100 AS INTEGER) AS query_no, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN anchor THEN 0 ELSE 1 END, r) AS INTEGER) AS facet_rank FROM ordered""",
+)
+def facet_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector with the one after it as an added query; the first of the second channel goes to its front."""
+    vectors = spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    corpus, asked = vectors.select(F.col("vec_id").alias("id"), "embedding"), vectors.where("vec_id % 100 <= 1").select(F.col("vec_id").alias("qid"), "embedding")
+    ranks = None
+    for number, (name, score) in enumerate((("dense", dense.dot), ("near", dense.nearness))):
+        own = dense.dense_rank(corpus, asked, score=score).select((F.col("qid") - F.col("qid") % 100).alias("qid"), (F.col("qid") % 100).cast("int").alias("query_no"), F.lit(name).alias("channel"), F.lit(number).alias("channel_no"), "id", "rank")
+        ranks = own if ranks is None else ranks.unionByName(own)
+    return fusion.facet_orders(ranks, True, "near")
