@@ -19,5 +19,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc": warc.OP3_SQL,
+    "op5_near_dedup": near_dedup.OP5_SQL,
     "op9_chat_formatting": chat.OP9_SQL,
 }

@@ -304,3 +304,15 @@ def archive_pages(pages: DataFrame, folder: str | None = None, least_bytes: int
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+
+
+#: The same from the table alone; base32 is made of groups of five hex digits.
+OP3_SQL = """
+WITH raw AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+digests AS (SELECT page_id, html, octet_length(encode(html)) AS n, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS first FROM raw),
+spelled AS (
+  SELECT *, array_to_string(list_transform(generate_series(0, 31), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(hex, CAST(k // 4 * 5 + 1 AS INTEGER), 5) AS BIGINT) >> (15 - k % 4 * 5)) & 31 AS INTEGER) + 1, 1)), '') AS digest FROM digests
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM spelled
+"""
