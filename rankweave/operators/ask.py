@@ -15,7 +15,7 @@ from rankweave.session import checkpointed
 
 #: Limits of a tool loop for one question, and the argument each tool takes.
 LIMITS = {"search": 3, "read": 2}
-MODEL_CALLS, MOST_CHARS = 8, 500
+MODEL_CALLS, MOST_CHARS, SECONDS = 8, 500, 120
 ARGUMENT = {"search": "query", "read": "chunk_id"}
 
 
@@ -88,6 +88,18 @@ def admitted(calls: DataFrame) -> DataFrame:
     return calls.withColumn("admitted", (so_far <= most) & (F.col("model_call") <= MODEL_CALLS))
 
 
+def loop_outcomes(calls: DataFrame) -> DataFrame:
+    """(qid, status, stopped_at) of tool calls (qid, model_call, seq, tool, fault, seconds): what ended the loop first, and at which model call.
+
+    Before each call: beyond SECONDS since the start it is ``timeout``, a call with a fault (:func:`call_fault`) is
+    ``agent_failed``, one beyond a limit (:func:`admitted`) is ``limited``; a loop that meets none of these is ``complete``.
+    """
+    reason = F.when(F.col("seconds") > SECONDS, "timeout").when(F.col("fault").isNotNull(), "agent_failed").when(~F.col("admitted"), "limited")
+    at = F.when(reason.isNotNull(), F.struct("model_call", "seq"))
+    ended = admitted(calls).withColumns({"reason": reason, "at": at}).groupBy("qid").agg(F.min_by("reason", "at").alias("reason"), F.min("at").alias("at"))
+    return ended.select("qid", F.coalesce("reason", F.lit("complete")).alias("status"), F.col("at.model_call").alias("stopped_at"))
+
+
 def gathered(chunks: DataFrame) -> DataFrame:
     """Chunks (qid, seq, id, ...) as they came in, each id once, where it came first."""
     first = F.row_number().over(Window.partitionBy("qid", "id").orderBy("seq"))

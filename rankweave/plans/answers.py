@@ -392,6 +392,21 @@ def call_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("event_id", ask.call_fault(tool, arguments, F.array(F.lit("c0"))).alias("fault"))
 
 
+@register(
+    "loop_outcomes",
+    f"""WITH calls AS (SELECT user_id, event_id, {_TOOL} AS tool, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS model_call FROM events WHERE event_type IN ('click', 'view', 'purchase')),
+  judged AS (SELECT *, CASE WHEN model_call * (user_id % 40 + 1) > 120 THEN 'timeout' WHEN tool NOT IN ('search', 'read') AND event_id % 3 = 0 THEN 'agent_failed'
+    WHEN row_number() OVER (PARTITION BY user_id, tool ORDER BY model_call) > CASE tool WHEN 'search' THEN 3 WHEN 'read' THEN 2 ELSE 0 END OR model_call > 8 THEN 'limited' END AS reason FROM calls)
+SELECT user_id AS qid, coalesce(arg_min(reason, model_call) FILTER (reason IS NOT NULL), 'complete') AS status, min(model_call) FILTER (reason IS NOT NULL) AS stopped_at FROM judged GROUP BY user_id""",
+)
+def loop_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as the tool calls of one question: what ended its loop."""
+    e, tool = F.col("event_id"), _tool(F.col("event_type"))
+    calls = _events(spark, sf_dir).where(F.col("event_type").isin("click", "view", "purchase")).select(F.col("user_id").alias("qid"), "event_id", tool.alias("tool"), F.lit(0).alias("seq"), F.when(~tool.isin("search", "read") & (e % 3 == 0), "unknown_tool").alias("fault"))
+    numbered = calls.withColumn("model_call", F.row_number().over(Window.partitionBy("qid").orderBy("event_id")))
+    return ask.loop_outcomes(numbered.withColumn("seconds", F.col("model_call") * (F.col("qid") % 40 + 1)))
+
+
 @register("gathered_chunks", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
 def gathered_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first event of each kind of a user, as chunks that came in."""

@@ -206,3 +206,34 @@ def test_summaries_by_group_make_no_array_or_map_of_a_group(spark):
     for frame in (shown, summary):
         plan = frame._jdf.queryExecution().toString()
         assert "collect_list" not in plan and "percentile" not in plan
+
+
+def test_a_client_that_raises_is_an_attempt():
+    class Refused(Exception):
+        status_code = 401
+
+    def client(fault, then):
+        replies = iter([fault, then])
+
+        def call(context, question, max_tokens):
+            reply = next(replies)
+            if isinstance(reply, Exception):
+                raise reply
+            return reply
+
+        return call
+
+    answer, status, usage = generate.attempt(client(TimeoutError("slow"), generate.Reply("fine", "stop", 1, 2)), "", "q")
+    assert (answer, status, len(usage)) == ("fine", "complete", 2) and usage[0][5] == "TimeoutError: slow" and usage[0][2] is None
+    assert generate.attempt(client(Refused("no key"), generate.Reply("fine")), "", "q")[1:] == ("generation_failed", [(1, 2048, None, None, None, "Refused: no key", 401)])
+
+
+def test_lines_end_at_every_line_end(spark):
+    text = "a\r\nb\x0bc\x0cd\x1ce\x85f\u2028g\u2029\n"
+    assert one(spark, T.split_lines(F.col("t")), t=text) == text.splitlines()
+
+
+def test_similarity_at_the_threshold_is_not_rounded_up(spark):
+    rows = spark.createDataFrame([(1, "abcdefghijklmnopq"), (2, "abcdefghijkxyzuvw")], "id int, text string")
+    near = checks.similar_pairs(rows, 10 / 22).collect()
+    assert [(r.left_id, r.right_id) for r in near] == [(1, 2)] and checks.similar_pairs(rows, 0.4545455).count() == 0
