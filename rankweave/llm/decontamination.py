@@ -251,7 +251,11 @@ def _keeper(index, text_at: int):
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no benchmark passage."""
+    """The rows of ``docs``, all columns, that hold no benchmark passage, as :func:`find_passages` would find it.
+
+    Rows with a null or empty text stay, and so do all rows where the benchmark is empty. Equal rows have one fate; an empty
+    table stays empty.
+    """
     context = small_batches(docs).sparkSession.sparkContext
     for index in _indexes(benchmark):
         docs = docs.mapInArrow(_keeper(context.broadcast(index), docs.columns.index("text")), docs.schema)

@@ -167,7 +167,11 @@ def _keeper(model, text_at: int, least: float):
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known with a score of at least ``least``."""
+    """The rows of ``docs``, all columns, whose language is known with a score of at least ``least``.
+
+    Rows with a null or empty text, or one without letters, go. Equal rows have one fate; rows without doc_id are judged by
+    their text like others. An empty table stays empty.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the parameters of fit
     return small_batches(docs).mapInArrow(_keeper(sent, docs.columns.index("text"), least), docs.schema)
 

@@ -68,3 +68,31 @@ def test_token_files_hold_all_rows(stages):
     rows = sorted(stages[5].collect(), key=lambda r: r.start)
     assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in stages[4].collect())
     assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:]))
+
+
+def test_ids_of_the_token_files(spark, stages):
+    """Every row of the last stage against the tokenizer as the library opens it."""
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = sorted(((r.doc_id, r.text) for r in stages[4].collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    start = 0
+    for (doc_id, text), got in zip(rows, sorted(stages[5].collect(), key=lambda r: r.start), strict=True):
+        ids = np.array([*plain.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        assert tuple(got) == (doc_id, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def test_whole_run(spark, stages):
+    got = corpus_pipeline.run(spark, SF)
+    assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and 0 < got.count() <= 3 * stages[0].count()
+
+
+def test_empty_documents(spark, tmp_path):
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
