@@ -213,6 +213,7 @@ LABELLED = (
     ("+<div>{3}</div>",),
     ("-<header>{2}</header>", "+<article><p>{24}</p><p>{1} <a href=x>{2}</a></p><p>{31}</p><p><a href=x>{3}</a></p><p>{50}</p></article>", "-<footer><a href=x>{2}</a></footer>"),
     ("-<header>{2}</header>", "+<main><h2>{4}</h2><p>{17}</p><p>{2} <a href=x>{4}</a> {1}</p><p>{28}</p>", "-<div><a href=x>{4}</a></div><div><a href=x>{6}</a></div><div><a href=x>{3}</a></div></main>"),
+    ("-<nav><a href=x>{1}</a></nav>", "+<main><article><h1>{4}</h1><p>{25}</p></article>", "-<section class=comments><article><p>{9}</p><p>{30}</p></article><article><p>{3}</p></article></section></main>"),
     ("-<div class=consent role=dialog><p>{35}</p><button>{1}</button></div>", "+<main><p>{6}</p><p>{24}</p><p>{3}</p><p>{80}</p>", "-<ul class=pagination><li>{1}</li><li><a href=x>{1}</a></li></ul><ul><li><a href=x>{6}</a></li><li><a href=x>{4}</a></li></ul></main><div>{7}</div>"),
 )
 
