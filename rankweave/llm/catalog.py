@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankweave.llm import chat, decontamination, fingerprint, html_text, language_id, license_scan, line_dedup, mixing, near_dedup, token_output, warc
+from rankweave.llm import chat, decontamination, fingerprint, html_text, language_id, license_scan, line_dedup, mixing, near_dedup, structure_repair, token_output, warc
 from rankweave.llm.common import Query
 
 QUERIES: dict[str, Query] = {
@@ -16,6 +16,7 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": mixing.op8_mixing,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_structure_repair": structure_repair.op11_structure_repair,
     "op13_html_text": html_text.op13_html_text,
 }
 
@@ -23,4 +24,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_warc": warc.OP3_SQL,
     "op5_near_dedup": near_dedup.OP5_SQL,
     "op9_chat_formatting": chat.OP9_SQL,
+    "op11_structure_repair": structure_repair.OP11_SQL,
 }
