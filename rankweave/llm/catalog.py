@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankweave.llm import chat, decontamination, fingerprint, html_text, language_id, license_scan, line_dedup, mixing, near_dedup, structure_repair, token_output, warc
+from rankweave.llm import chat, decontamination, fingerprint, html_text, language_id, license_scan, line_dedup, mixing, near_dedup, prefix_trie, structure_repair, token_output, warc
 from rankweave.llm.common import Query
 
 QUERIES: dict[str, Query] = {
@@ -17,6 +17,7 @@ QUERIES: dict[str, Query] = {
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_structure_repair": structure_repair.op11_structure_repair,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_html_text": html_text.op13_html_text,
 }
 
@@ -25,4 +26,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_near_dedup": near_dedup.OP5_SQL,
     "op9_chat_formatting": chat.OP9_SQL,
     "op11_structure_repair": structure_repair.OP11_SQL,
+    "op12_prefix_trie": prefix_trie.OP12_SQL,
 }
