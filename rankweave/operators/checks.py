@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,11 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from rankweave.functions.text import NUMERIC_FACT, bigrams, citations, contains_any, numeric_facts, without_space
+from rankweave.operators.substrings import holding
 from rankweave.session import stored
 
 DUPLICATE, MIN_FACTS, FIRST = 0.55, 2, 3
-#: Terms looked for in one pass over the texts.
-TERM_BLOCK = 2000
 
 #: Words that show a behaviour, by behaviour.
 MARKERS: dict[str, tuple[str, ...]] = {
@@ -28,24 +28,10 @@ MARKERS: dict[str, tuple[str, ...]] = {
 NEEDED = {"reject_premise": "negate", "state_uncertainty": "uncertain", "flag_local": "local", "escalate": "escalate", "refuse": "refusal", "ask_clarify": "clarify"}
 
 
-def _blocks(terms: DataFrame, key: str) -> list[DataFrame]:
-    """The terms in blocks of about TERM_BLOCK rows, each small enough to go to every task."""
-    n = max(1, -(-terms.count() // TERM_BLOCK))
-    return [terms if n == 1 else terms.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) for k in range(n)]
-
-
 def containing(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term_id, id): texts (id, text) that hold a term (term_id, term), white space aside; folded once before the scan.
-
-    Terms go out in blocks, against all texts; blank terms are held by none.
-    """
-    folded = texts.select("id", without_space(F.col("text")).alias("folded"))
-    asked = terms.select("term_id", without_space(F.col("term")).alias("term")).where("term <> ''")
-    found = None
-    for block in _blocks(asked, "term_id"):
-        hit = folded.join(F.broadcast(block), F.contains("folded", F.col("term"))).select("term_id", "id")
-        found = hit if found is None else found.unionAll(hit)
-    return found
+    """(term_id, id): texts (id, text) that hold a term (term_id, term), white space aside; blank terms are held by none."""
+    folded = texts.select("id", without_space(F.col("text")).alias("text"))
+    return holding(folded, terms.select("term_id", without_space(F.col("term")).alias("term")))
 
 
 def absence(texts: DataFrame, terms: DataFrame, first: int = FIRST) -> DataFrame:
@@ -74,21 +60,28 @@ def similar_pairs(questions: DataFrame, least: float = DUPLICATE, dropped: str |
     """(left_id, right_id, similarity): pairs of questions (id, text) whose bigram sets have a Jaccard of at least ``least``.
 
     A prefix filter finds the pairs: bigrams are ordered by rarity and only the rarest of each set, among which two similar
-    sets share one, are joined; the sets themselves then decide.
+    sets share one, are joined; the place of the first shared one and the sizes leave out pairs that cannot share enough; the
+    sets themselves then decide, by the quotient of two whole numbers. The filters compare whole thousandths, rounded down.
     """
     grams = bigrams(F.col("text")) if dropped is None else bigrams(F.col("text"), dropped)
     sets = stored(questions.select("id", grams.alias("grams")).where(F.size("grams") > 0), "sets")
     each = sets.select("id", F.size("grams").alias("n"), F.explode("grams").alias("g"))
     counted = each.join(each.groupBy("g").count(), "g")
     place = F.row_number().over(Window.partitionBy("id").orderBy("count", "g"))
-    prefix = counted.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
+    share = max(0, math.floor(least * 1000 - 1e-6))
+    needed = lambda n: (F.lit(share) * n + 999).cast("long").cast("decimal(20,0)")
+    prefix = counted.withColumn("place", place).where(F.col("place") * 1000 <= F.col("n") * 1000 - needed(F.col("n")) + 1999)
     a, b = prefix.alias("a"), prefix.alias("b")
     smaller, larger = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-    pairs = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.id") < F.col("b.id")) & (smaller >= larger * least)).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).distinct()
+    # if the first shared gram stands at these places, no more than this many are shared
+    most = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) + 1
+    able = (smaller * 1000 >= larger * share) & (most * (1000 + share) >= (F.col("a.n") + F.col("b.n")) * share)
+    met = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), able.alias("able"), F.col("a.place").alias("place"))
+    pairs = met.groupBy("left_id", "right_id").agg(F.min_by("able", "place").alias("able")).where("able").drop("able")
     full = pairs.join(sets.select(F.col("id").alias("left_id"), F.col("grams").alias("x")), "left_id").join(sets.select(F.col("id").alias("right_id"), F.col("grams").alias("y")), "right_id")
     both = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - both
-    return full.where(both >= F.lit(least) * union).select("left_id", "right_id", F.round(both / union, 6).alias("similarity"))
+    return full.where(both / union >= F.lit(least)).select("left_id", "right_id", F.round(both / union, 6).alias("similarity"))
 
 
 def gold_candidates(answers: DataFrame, chunks: DataFrame, pattern: str = NUMERIC_FACT, least: int = MIN_FACTS, first: int = FIRST) -> DataFrame:

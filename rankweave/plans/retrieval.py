@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rankweave.operators import context, dense, fusion, metrics, perturb
 from rankweave.operators.lexical import LexicalIndex, bm25_rank, build_index
 from rankweave.operators.retrieve import lexical_ranker, neighbours, retrieve
+from rankweave.operators.substrings import holding
 from rankweave.plans.registry import register
 from rankweave.session import stored
 from rankweave.sources.tables import spread, table
@@ -67,8 +68,18 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), "text", "lang")
 
 
+#: The last index built: by the application and the files it came from.
+_BUILT: dict[tuple[str, ...], LexicalIndex] = {}
+
+
 def _index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
-    return build_index(_documents(spark, sf_dir).select("id", "pos", "text"))
+    """The index of the documents, built once for all queries of an application over the same files."""
+    docs = _documents(spark, sf_dir).select("id", "pos", "text")
+    key = (spark.sparkContext.applicationId, *sorted(docs.inputFiles()))
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = build_index(docs)
+    return _BUILT[key]
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,16 +87,9 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold an item whole; items go out in bounded blocks."""
-    items = _items(spark, sf_dir)
-    docs = _documents(spark, sf_dir).select("id", F.col("text").alias("body"))
-    blocks = max(1, -(-items.count() // 2000))
-    found = None
-    for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block)
-        hit = docs.join(F.broadcast(own), F.contains("body", F.col("text"))).select("qid", "id")
-        found = hit if found is None else found.unionAll(hit)
-    return stored(found.distinct(), "gold")
+    """Documents that hold an item whole."""
+    items = _items(spark, sf_dir).withColumnsRenamed({"qid": "term_id", "text": "term"})
+    return stored(holding(_documents(spark, sf_dir), items).select(F.col("term_id").alias("qid"), "id").distinct(), "gold")
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -101,9 +105,8 @@ def _two_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _judgements(spark: SparkSession, sf_dir: str, gold: DataFrame) -> DataFrame:
-    """Ranks of the items that some document holds; the others have nothing to find."""
-    asked = _items(spark, sf_dir).join(gold.select("qid").distinct(), "qid", "left_semi")
-    return metrics.judged(bm25_rank(_index(spark, sf_dir), asked), gold)
+    """Ranks of all items, judged; those that no document holds have nothing to find."""
+    return metrics.judged(bm25_rank(_index(spark, sf_dir), _items(spark, sf_dir)), gold)
 
 
 # ---------------------------------------------------------------- queries
@@ -196,7 +199,6 @@ SELECT variant, count(*) AS n, round(avg(hits / n_gold), 6) AS recall, round(avg
 def variant_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = perturb.explode_variants(_items(spark, sf_dir), "[A-Za-z]", _FRAME)
     gold = _gold(spark, sf_dir)
-    asked = asked.join(gold.select("qid").distinct(), "qid", "left_semi")
     hits = bm25_rank(_index(spark, sf_dir), asked.select(F.struct("qid", "variant").alias("qid"), "text"), 5)
     wanted = asked.select("qid", "variant").join(gold, "qid").select(F.struct("qid", "variant").alias("qid"), "id")
     per = metrics.per_query(metrics.judged(hits, wanted), (5,), 5)
@@ -256,7 +258,7 @@ _SHOWN = "id, round(rrf, 6) AS rrf, bm25_rank, candidate_count"
 
 def _retrieved(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
     corpus = _documents(spark, sf_dir).select("id", "pos", "text")
-    lexical = lexical_ranker(build_index(corpus))
+    lexical = lexical_ranker(_index(spark, sf_dir))
     hits = retrieve(_items(spark, sf_dir), corpus.select("id"), lexical=lexical, mode="bm25", strategy=strategy, rules=_RULES)
     return hits.select("qid", F.col("rank").cast("int").alias("rank"), "id", "rrf", "bm25_rank", "candidate_count")
 
@@ -291,8 +293,7 @@ SELECT 'bm25' AS mode, count(*) AS n, count(*) FILTER (in_3 > 0) AS any_3, count
 def coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of which some or all documents are among the first."""
     gold = _gold(spark, sf_dir)
-    asked = _items(spark, sf_dir).join(gold.select("qid").distinct(), "qid", "left_semi")
-    hits = bm25_rank(_index(spark, sf_dir), asked).withColumn("mode", F.lit("bm25"))
+    hits = bm25_rank(_index(spark, sf_dir), _items(spark, sf_dir)).withColumn("mode", F.lit("bm25"))
     return metrics.coverage_counts(hits, gold, ["mode"])
 
 
