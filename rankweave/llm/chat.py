@@ -66,10 +66,12 @@ def format_paths(messages: DataFrame) -> DataFrame:
 
     ``formatted`` is the chosen path in reply order, turn by turn; null roles and texts are empty. ``loss`` lists start and
     length, in characters of ``formatted``, of the (escaped) texts of role ``assistant``, in order. Messages that share
-    tree and node all stand at its place, by role and text. Trees without a root give no row; messages of a null tree are one
+    tree and node all stand at its place, by role and text; the least of parent, score, role and text (null first) says where that is. Trees without a root give no row; messages of a null tree are one
     tree; an empty table gives none.
     """
-    paths = chosen_paths(messages.dropDuplicates(["tree", "node"])).select(F.struct("tree").alias("tree"), "node", "depth")
+    least = F.min(F.struct("parent", "score", F.col("role").alias("r"), F.col("text").alias("t"))).alias("least")
+    places = messages.groupBy("tree", "node").agg(least).select("tree", "node", "least.parent", "least.score")
+    paths = chosen_paths(places).select(F.struct("tree").alias("tree"), "node", "depth")
     messages = messages.withColumn("tree", F.struct("tree"))  # joins to its like when it holds null
     turn = F.struct("depth", F.coalesce("role", F.lit("")).alias("role"), escaped(F.col("role")).alias("shown"), escaped(F.col("text")).alias("text"))
     turns = messages.join(paths, ["tree", "node"]).groupBy("tree").agg(F.array_sort(F.collect_list(turn)).alias("turns"))

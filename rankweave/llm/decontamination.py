@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import small_batches
+from rankweave.llm.common import filtered, small_batches
 from rankweave.sources.tables import spread, table
 
 #: Characters of a q-gram; edits allowed as a share of the passage.
@@ -254,11 +254,11 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no benchmark passage, as :func:`find_passages` would find it.
 
     Rows with a null or empty text stay, and so do all rows where the benchmark is empty. Equal rows have one fate; an empty
-    table stays empty.
+    table stays empty; further columns may have any name.
     """
     context = small_batches(docs).sparkSession.sparkContext
     for index in _indexes(benchmark):
-        docs = docs.mapInArrow(_keeper(context.broadcast(index), docs.columns.index("text")), docs.schema)
+        docs = filtered(docs, _keeper(context.broadcast(index), docs.columns.index("text")))
     return docs
 
 

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import small_batches
+from rankweave.llm.common import filtered, small_batches
 from rankweave.session import drop_stored, stored
 from rankweave.sources.tables import spread, table
 
@@ -170,10 +170,10 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.3) -
     """The rows of ``docs``, all columns, whose language is known with a score of at least ``least``.
 
     Rows with a null or empty text, or one without letters, go. Equal rows have one fate; rows without doc_id are judged by
-    their text like others. An empty table stays empty.
+    their text like others. An empty table stays empty; further columns may have any name.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the parameters of fit
-    return small_batches(docs).mapInArrow(_keeper(sent, docs.columns.index("text"), least), docs.schema)
+    return filtered(small_batches(docs), _keeper(sent, docs.columns.index("text"), least))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,14 +20,14 @@ from rankweave.sources.tables import spread, table
 COVERAGE = 0.8
 
 class Template(NamedTuple):
-    """A notice of a license; ``required`` are words of it without which nothing else counts."""
+    """A notice of a license; ``required`` are words of it without which nothing else counts, ``forbidden`` words that make it another license where they stand within the notice."""
 
     name: str
     text: str
     required: tuple[str, ...] = ()
+    forbidden: tuple[str, ...] = ()
 
 
-_CC = "This work is licensed under a Creative Commons {} International License."
 _GNU = (
     "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by "
     "the Free Software Foundation, either version {} of the License, or (at your option) any later version."
@@ -53,42 +53,78 @@ _BSD_THREE = (
     "without specific prior written permission."
 )
 
-#: Common short notices, the standard headers and the whole short texts of public licenses.
+#: Words that name the parts of a Creative Commons license, short and long.
+_PARTS = {"BY": "Attribution", "NC": "NonCommercial", "SA": "ShareAlike", "ND": "NoDerivatives"}
+_KINDS = ("BY", "BY-NC", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND")
+_VERSIONS = ("4.0", "3.0")
+#: The GNU families with the word that tells them apart, and their versions.
+_FAMILIES = (("GPL", "General Public License", ("3", "2")), ("LGPL", "Lesser General Public License", ("3", "2.1", "2")), ("AGPL", "Affero General Public License", ("3",)))
+_KIN = ("lesser", "affero", "library")
+#: Identifiers that a line of its own may name.
+_IDENTIFIERS = ("MIT", "ISC", "Apache-2.0", "MPL-2.0", "EPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-3.0-only", "AGPL-3.0-only", "CC0-1.0", "Unlicense")
+_OR_ONLY = ("-only", "-or-later")
+
+
+def _creative_commons() -> list[Template]:
+    """Short and long notices of every kind and version; the parts of other kinds are forbidden."""
+    found = []
+    for kind in _KINDS:
+        parts = kind.split("-")
+        others = tuple(w.lower() for p, name in _PARTS.items() if p not in parts for w in (p, name))
+        name = "-".join(_PARTS[p] for p in parts)
+        for version in _VERSIONS:
+            license_, major = f"CC-{kind}-{version}", version[0]
+            found.append(Template(license_, f"Licensed under CC {kind} {version}.", ("cc", *(p.lower() for p in parts), major), others))
+            long = ("commons", *(_PARTS[p].lower() for p in parts), major)
+            for scope in ("International", "Unported"):
+                found.append(Template(license_, f"This work is licensed under a Creative Commons {name} {version} {scope} License.", long, others))
+    return found
+
+
+def _gnu() -> list[Template]:
+    found = []
+    for family, title, versions in _FAMILIES:
+        own = title.split()[0].lower()
+        forbidden = tuple(w for w in _KIN if w != own)
+        for version in versions:
+            needed = ("gnu", own, *version.split("."))
+            name = f"{family}-{version if '.' in version else version + '.0'}"
+            other = forbidden if version != "2" or family != "LGPL" else (*forbidden, "1")
+            found.append(Template(name, f"This work is licensed under the GNU {title}, version {version}.", needed, other))
+            found.append(Template(name, _GNU.format(title, version), needed, other))
+    return found
+
+
+#: Common short notices, the standard headers and the whole short texts of public licenses.
 TEMPLATES: tuple[Template, ...] = (
-    Template("Apache-2.0", "Licensed under the Apache License, Version 2.0.", ("apache",)),
+    Template("Apache-2.0", "Licensed under the Apache License, Version 2.0.", ("apache", "2")),
     Template(
         "Apache-2.0",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-        ("apache",),
+        ("apache", "2"),
     ),
     Template("MIT", "Released under the MIT License.", ("mit",)),
+    Template("MIT", "MIT License", ("mit", "license")),
     Template("MIT", _MIT),
     Template("MIT", f"{_MIT}, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_AS_IS}"),
     Template("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", ("fee",)),
-    Template("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", ("gnu", "3")),
-    Template("GPL-2.0", "This work is licensed under the GNU General Public License, version 2.", ("gnu", "2")),
-    Template("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3.", ("gnu", "lesser", "3")),
-    Template("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3.", ("gnu", "affero", "3")),
-    Template("GPL-3.0", _GNU.format("General Public License", 3), ("gnu", "3")),
-    Template("GPL-2.0", _GNU.format("General Public License", 2), ("gnu", "2")),
-    Template("LGPL-3.0", _GNU.format("Lesser General Public License", 3), ("gnu", "lesser", "3")),
-    Template("LGPL-2.1", _GNU.format("Lesser General Public License", "2.1"), ("gnu", "lesser", "2")),
-    Template("AGPL-3.0", _GNU.format("Affero General Public License", 3), ("gnu", "affero", "3")),
-    Template("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", ("mozilla",)),
-    Template("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", ("cc", "nc")),
-    Template("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", ("cc", "sa")),
-    Template("CC-BY-4.0", "Licensed under CC BY 4.0.", ("cc", "by")),
-    Template("CC-BY-4.0", _CC.format("Attribution 4.0"), ("commons", "attribution")),
-    Template("CC-BY-SA-4.0", _CC.format("Attribution-ShareAlike 4.0"), ("commons", "sharealike")),
-    Template("CC-BY-NC-4.0", _CC.format("Attribution-NonCommercial 4.0"), ("commons", "noncommercial")),
-    Template("CC-BY-ND-4.0", _CC.format("Attribution-NoDerivatives 4.0"), ("commons", "noderivatives")),
+    *_gnu(),
+    Template("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", ("mozilla", "2")),
+    Template("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0", ("eclipse", "2")),
+    Template("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html", ("eclipse", "v1")),
+    *_creative_commons(),
     Template("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.", ("dedicated", "domain")),
     Template("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software", ("unencumbered",)),
     Template("BSD", _BSD),
     Template("BSD-2-Clause", f"{_BSD}: {_BSD_TWO}", ("redistributions",)),
     Template("BSD-3-Clause", f"{_BSD}: {_BSD_TWO} {_BSD_THREE}", ("redistributions", "endorse")),
+    Template("BSD-2-Clause", "BSD 2-Clause License", ("bsd", "2", "clause")),
+    Template("BSD-3-Clause", "BSD 3-Clause License", ("bsd", "3", "clause")),
+    *(Template(i.removesuffix(_OR_ONLY[0]).removesuffix(_OR_ONLY[1]), f"SPDX-License-Identifier: {i}", ("identifier", *(w for w in i.lower().replace("-", " ").replace(".", " ").split() if w not in ("only", "or", "later")))) for i in _IDENTIFIERS),
 )
+#: Notices of so few words must stand in one piece.
+SHORT = 4
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 
@@ -145,21 +181,25 @@ class LicenseScanner:
         split = [[w.lower() for w in _WORD.findall(t.text)] for t in templates]
         if not all(split):
             raise ValueError("a template without words")
-        self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for ws in split for w in ws))}
+        self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for ws in [*split, *(t.forbidden for t in templates)] for w in ws))}
         self.codes = [[self.vocabulary[w] for w in ws] for ws in split]
         self.required = [{self.vocabulary[w] for w in t.required} for t in templates]
+        self.forbidden = [{self.vocabulary[w] for w in t.forbidden} for t in templates]
         self.weight = np.zeros((len(split), len(self.vocabulary)))
         for t, codes in enumerate(self.codes):
             np.add.at(self.weight[t], codes, 1)
         self.need = np.ceil(np.array([len(c) for c in self.codes]) * coverage - 1e-9)
 
     def notice(self, window: list[int], t: int) -> list[tuple[int, int]]:
-        """The aligned places of a window with template ``t``; none where it covers too little or lacks a required word."""
+        """The aligned places of a window with template ``t``; none where it covers too little, lacks a required word or holds a forbidden one."""
         own = self.codes[t]
         pairs = patience(window, own)
         if len(pairs) < self.need[t] or not self.required[t] <= {own[j] for _, j in pairs}:
             return []
-        return pairs
+        first, last = pairs[0][0], pairs[-1][0]
+        if len(own) <= SHORT and last - first + 1 > len(own):
+            return []
+        return [] if self.forbidden[t] and self.forbidden[t] & set(window[first : last + 1]) else pairs
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(license, coverage, start, end) of every notice, by place in characters.
@@ -218,8 +258,8 @@ def scan_licenses(docs: DataFrame, templates: Iterable[tuple] = TEMPLATES, cover
     """doc_id, license, coverage, start, end of every license notice that a document holds.
 
     Words are runs of letters and digits in lower case; a notice covers at least ``coverage`` of a template's words in
-    order, its required words among them. Of notices that overlap, that with the most words covered counts, then the higher
-    coverage, then the earlier place. ``templates`` are (name, text) or (name, text, required words). Whole texts are
+    order, its required words among them, and holds no forbidden one. Of notices that overlap, that with the most words covered counts, then the higher
+    coverage, then the earlier place. ``templates`` are (name, text), (name, text, required words) or (name, text, required words, forbidden words). Whole texts are
     scanned; null or empty ones hold nothing; equal rows each have their results; other columns are ignored; an empty table
     gives no rows.
     """

@@ -149,10 +149,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with every row as many times as the mix takes it (:func:`mix`): 0 to MOST times.
 
     Rows alike in doc_id, source and size are told apart by their texts; a null source is a source; rows with a null or
-    empty text are taken once. An empty table stays empty.
+    empty text are taken once. An empty table stays empty; further columns may have any name.
     """
-    names = docs.columns
-    packed = docs.select(F.struct(*names).alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.select(row.alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"))
     packed = packed.withColumn("no", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("row.text"))).alias("p")
     copies = mix(sized_documents(docs)).where("copies > 0").alias("m")
     alike = F.lit(True)

@@ -261,15 +261,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without all but one, that with the smallest doc_id, of each group of near duplicates.
 
-    Of rows that share a doc_id one stays, that with the least text (null first), then source and lang by the whole row, so
-    reruns agree. Rows without doc_id all stay, documents without words too. An empty table stays empty.
+    Of rows that share a doc_id one stays, that with the least text (null first), then with the least whole row as JSON, so
+    reruns agree; further columns may have any name and type. Rows without doc_id all stay, documents without words too. An empty table stays empty.
     """
     kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    row = F.struct("text", *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     several = named.groupBy("doc_id").count().where("count > 1").select("doc_id")
     alone = named.join(several, "doc_id", "left_anti")
-    chosen = named.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("row")).select("row.*")
+    chosen = named.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("row")).select("row.*")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return alone.select(columns).unionByName(chosen.select(columns)).unionByName(docs.where("doc_id is null"))
 

@@ -86,3 +86,9 @@ def test_query_and_sql_agree_on_a_null_conversation(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
     assert sorted(map(str, map(tuple, chat.op9_chat_formatting(spark, str(tmp_path)).collect()))) == sorted(map(str, con.execute(chat.OP9_SQL).fetchall()))
+
+
+def test_messages_that_share_a_node_have_one_place_in_any_order(spark):
+    rows = [(1, 1, None, 0.0, "user", "root"), (1, 2, 1, 1.0, "assistant", "a"), (1, 2, None, 2.0, "assistant", "b"), (1, 3, 2, 1.0, "user", "end")]
+    shown = [chat.format_paths(spark.createDataFrame(r, "tree long, node long, parent long, score double, role string, text string")).collect() for r in (rows, rows[::-1])]
+    assert [tuple(r) for r in shown[0]] == [tuple(r) for r in shown[1]] and len(shown[0]) == 1

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import types as T
@@ -36,7 +37,7 @@ def test_words_that_are_all_unique_are_aligned_best(a, b):
 def test_notices_with_changes():
     scanner, rnd = ls.LicenseScanner(), random.Random(4)
     filler = lambda n: " ".join(rnd.choice(["the", "onre", "under", "thand", "license", "of", "and"]) for _ in range(n))
-    for name, text, required in ls.TEMPLATES:
+    for name, text, required, _ in ls.TEMPLATES:
         words = text.split()
         for drop in (0, len(words) // 12):
             kept = words[:]
@@ -47,7 +48,7 @@ def test_notices_with_changes():
             whole = f"{filler(300)}\n{' '.join(kept).upper()}\n{filler(40)}"
             found = [r for r in scanner.scan(whole) if r[0] == name]
             assert len(found) == 1, (name, drop)
-            if not drop:
+            if not drop and len(words) > ls.SHORT:  # around a short one the filler may complete a longer notice
                 assert found[0][1] == 1 and whole[found[0][2] : found[0][3]] in text.upper()
 
 
@@ -65,7 +66,7 @@ def names(text):
 
 def test_required_words_and_variants():
     assert names("This work is released. Licensed under the Apache License, Version 2.0.") == ["Apache-2.0"]
-    assert names(ls._CC.format("Attribution-ShareAlike 4.0")) == ["CC-BY-SA-4.0"]
+    assert names("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.") == ["CC-BY-SA-4.0"]
     assert names(ls._GNU.format("Lesser General Public License", 3)) == ["LGPL-3.0"] and names(ls._GNU.format("General Public License", 2)) == ["GPL-2.0"]
     assert names(f"{ls._BSD}: 1. {ls._BSD_TWO} 3. {ls._BSD_THREE}") == ["BSD-3-Clause"] and names(f"{ls._BSD}: {ls._BSD_TWO}") == ["BSD-2-Clause"] and names(ls._BSD) == ["BSD"]
     between = " words of the text that part both notices from each other, enough of them to be sure. " * 3
@@ -119,3 +120,33 @@ def test_a_capital_dotted_i_changes_nothing_else():
         at = text.index(notice)
         assert ls.LicenseScanner().scan(text) == [("MIT", 1.0, at, at + len(notice) - 1)]
     assert ls.LicenseScanner([("city", "\u0130stanbul Belediyesi")]).scan("\u0130STANBUL BELEDIYESI") == [("city", 1.0, 0, 19)]
+
+
+@pytest.mark.parametrize(
+    ("notice", "name"),
+    [
+        ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"),
+        ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+        ("CC BY-NC-SA 4.0", None),
+        ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "CC-BY-NC-SA-4.0"),
+        ("Licensed under CC BY 3.0.", "CC-BY-3.0"),
+        ("This work is licensed under a Creative Commons Attribution 3.0 Unported License.", "CC-BY-3.0"),
+        ("Licensed under the Apache License, Version 1.0", None),
+        ("Licensed under the Apache License, Version 2.0", "Apache-2.0"),
+        ("This work is licensed under the GNU Lesser General Public License, version 2.", "LGPL-2.0"),
+        ("This work is licensed under the GNU Lesser General Public License, version 2.1.", "LGPL-2.1"),
+        ("This work is licensed under the GNU Library General Public License, version 2.", None),
+        ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+        ("SPDX-License-Identifier: MIT", "MIT"),
+        ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"),
+        ("MIT License\n\nCopyright", "MIT"),
+        ("mit der License", None),
+        ("BSD 3-Clause License", "BSD-3-Clause"),
+        ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0", "EPL-2.0"),
+        ("All rights reserved.", None),
+    ],
+)
+def test_words_that_tell_licenses_apart(notice, name):
+    assert {r[0] for r in ls.LicenseScanner().scan(f"Some words before. {notice} Some words after.")} == ({name} if name else set())

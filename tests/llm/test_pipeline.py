@@ -96,3 +96,14 @@ def test_empty_documents(spark, tmp_path):
     for name in ("documents", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_extra_columns_of_any_name_and_type(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    wide = docs.selectExpr("*", "doc_id AS `a.b`", "map(lang, doc_id) AS tags", "named_struct('text', source) AS `x y`")
+    wide = wide.unionByName(wide.where("doc_id = 1"))  # a repeated row with a map
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        wide = stage(spark, wide, SF).cache()
+        assert wide.columns == [*docs.columns, "a.b", "tags", "x y"] and wide.count() > 100
+        assert wide.where("`a.b` <> doc_id OR tags[lang] <> doc_id OR `x y`.text <> source").isEmpty()
+    assert corpus_pipeline.STAGES[4][1](spark, wide, SF).count() == wide.count()
