@@ -49,11 +49,11 @@ def ungrounded_numbers(answer: Column, source: Column, pattern: str = NUMERIC_FA
     return F.filter(F.array_distinct(numeric_facts(answer, pattern)), lambda f: ~F.contains(folded, without_space(f)))
 
 
-def quote_checks(cases: DataFrame, chunks: DataFrame) -> DataFrame:
+def quote_checks(cases: DataFrame, chunks: DataFrame, pattern: str = NUMERIC_FACT) -> DataFrame:
     """cases (qid, source_chunk, quote, answer) -> qid, quote_found, ungrounded; an unknown chunk is an empty source."""
     texts = chunks.select(F.col("id").alias("source_chunk"), F.col("text").alias("source"))
     source = F.coalesce("source", F.lit(""))
-    return cases.join(texts, "source_chunk", "left").select("qid", F.contains(without_space(source), without_space(F.col("quote"))).alias("quote_found"), ungrounded_numbers(F.col("answer"), source).alias("ungrounded"))
+    return cases.join(texts, "source_chunk", "left").select("qid", F.contains(without_space(source), without_space(F.col("quote"))).alias("quote_found"), ungrounded_numbers(F.col("answer"), source, pattern).alias("ungrounded"))
 
 
 def similar_pairs(questions: DataFrame, least: float = DUPLICATE, dropped: str | None = None) -> DataFrame:

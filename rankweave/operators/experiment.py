@@ -18,12 +18,6 @@ def latest(rows: DataFrame, keys: Sequence[str], seq: Sequence[str]) -> DataFram
     return best.select(*keys, "row.*").select(*rows.columns)
 
 
-def upper_median(value: str) -> Column:
-    """The element at half the count, rounded down, of the sorted values; for small groups, as each is an array."""
-    items = F.array_sort(F.collect_list(value))
-    return F.get(items, F.floor(F.size(items) / 2).cast("int"))
-
-
 def nearest_rank(value: str, share: float = 0.95) -> Column:
     return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {value})")
 
@@ -92,17 +86,25 @@ def complete_everywhere(rows: DataFrame, key: str, profile: str, complete: Colum
 def paired_summary(rows: DataFrame, key: str, profile: str, complete: Column, seconds: str) -> DataFrame:
     """Per profile over the keys complete in all of them: n, median and P95 seconds."""
     both = complete_everywhere(rows, key, profile, complete)
-    return rows.where(complete).join(both, key, "left_semi").groupBy(profile).agg(F.count("*").alias("n"), interpolated_median(seconds).alias("p50"), nearest_rank(seconds).alias("p95"))
+    kept = rows.where(complete).join(both, key, "left_semi")
+    return _with_latencies(kept.groupBy(profile).agg(F.count("*").alias("n")), kept, profile, seconds)
+
+
+def _with_latencies(counted: DataFrame, rows: DataFrame, by: str, value: str) -> DataFrame:
+    """Adds p50 (between the middle two) and p95 (nearest rank) of the known values."""
+    times = latency_summary(rows, (by,), value).select(F.col(by).alias("of"), F.col("median").alias("p50"), "p95")
+    return counted.join(times, F.col(by).eqNullSafe(F.col("of")), "left").drop("of")
 
 
 def variant_summary(rows: DataFrame, by: str = "variant") -> DataFrame:
     """Per variant of rows (qid, status, grade, attempts, tokens, seconds): completeness, grades, attempts, tokens and clean latency."""
     clean = F.when((F.col("status") == "complete") & (F.col("attempts") == 1), F.col("seconds"))
     shown = rows.withColumn("clean_seconds", clean)
-    return shown.groupBy(by).agg(
+    counted = shown.groupBy(by).agg(
         F.count("*").alias("n"), F.count_if(F.col("status") == "complete").alias("complete"), F.count_if(F.col("grade") == "correct").alias("correct"), F.count("grade").alias("graded"),
-        F.sum("attempts").alias("attempts"), total_of_known("tokens").alias("known_tokens"), total_if_all_known("tokens").alias("all_tokens"), interpolated_median("clean_seconds").alias("p50"), nearest_rank("clean_seconds").alias("p95"),
+        F.sum("attempts").alias("attempts"), total_of_known("tokens").alias("known_tokens"), total_if_all_known("tokens").alias("all_tokens"),
     )
+    return _with_latencies(counted, shown, by, "clean_seconds")
 
 
 def red_team_summary(rows: DataFrame) -> DataFrame:

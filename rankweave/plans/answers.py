@@ -67,14 +67,25 @@ def known_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turns(spark, sf_dir).select("conv_id", "turn", context.citations_known(answer, sources).alias("known"))
 
 
+_QUOTED = r"""SELECT item_id AS qid, b.text AS item, d.text AS source, CASE WHEN item_id % 2 = 0 THEN substr(d.text, 3, 40) ELSE b.text END AS quote, regexp_extract(coalesce(d.text, ''), '[0-9]+') || CASE WHEN item_id % 3 = 0 THEN ' 424242' ELSE '' END AS answer
+  FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id"""
+
+
 @register(
     "quote_checks",
-    rf"""SELECT item_id AS qid, contains(regexp_replace(coalesce(d.text, ''), '\s+', '', 'g'), regexp_replace(b.text, '\s+', '', 'g')) AS quote_found FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id""",
+    rf"""SELECT qid, contains(regexp_replace(coalesce(source, ''), '\s+', '', 'g'), regexp_replace(coalesce(quote, ''), '\s+', '', 'g')) AS quote_found,
+  array_to_string(list_filter(list_distinct(regexp_extract_all(answer, '[0-9]+')), lambda f: NOT contains(regexp_replace(coalesce(source, ''), '\s+', '', 'g'), f)), ' ') AS ungrounded FROM ({_QUOTED})""",
 )
 def quote_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items as quotes of the documents with their numbers."""
-    cases = _items(spark, sf_dir).select("qid", F.col("qid").alias("source_chunk"), F.col("text").alias("quote"), F.col("text").alias("answer"))
-    return checks.quote_checks(cases, _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")).select("qid", "quote_found")
+    """Of every other item the quote comes from its document, and every third answer has a number that the document lacks."""
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+    items = _items(spark, sf_dir).join(docs.select(F.col("id").alias("qid"), F.col("text").alias("source")), "qid", "left")
+    quote = F.when(F.col("qid") % 2 == 0, F.substring("source", 3, 40)).otherwise(F.col("text"))
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), "[0-9]+", 0)
+    answer = F.concat(number, F.when(F.col("qid") % 3 == 0, " 424242").otherwise(""))
+    cases = items.select("qid", F.col("qid").alias("source_chunk"), F.coalesce(quote, F.lit("")).alias("quote"), answer.alias("answer"))
+    found = checks.quote_checks(cases, docs, NUMBER)
+    return found.select("qid", "quote_found", F.array_join("ungrounded", " ").alias("ungrounded"))
 
 
 @register(
@@ -244,13 +255,18 @@ def markdown_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", T.markdown_table(rows).alias("markdown"))
 
 
+_COVERED = "CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY source) AND source < 'src3' THEN substr(text, 1, 30) ELSE text END"
+
+
 @register(
     "page_annotation",
-    f"SELECT doc_id, doc_id = min(doc_id) OVER (PARTITION BY source) AND chars < 60 AS is_cover, CAST(chars AS INTEGER) AS char_len, NOT (doc_id = min(doc_id) OVER (PARTITION BY source) AND chars < 60) AND contains(replace(substr('目 录' || text, 1, 200), ' ', ''), '目录') AND doc_id % 5 = 0 AS is_toc FROM (SELECT *, length(trim(CASE WHEN doc_id % 5 = 0 THEN '目 录' ELSE '' END || text, {_WS})) AS chars FROM documents)",
+    f"SELECT doc_id, doc_id = min(doc_id) OVER (PARTITION BY source) AND chars < 60 AS is_cover, CAST(chars AS INTEGER) AS char_len, NOT (doc_id = min(doc_id) OVER (PARTITION BY source) AND chars < 60) AND contains(replace(substr('目 录' || text, 1, 200), ' ', ''), '目录') AND doc_id % 5 = 0 AS is_toc FROM (SELECT *, length(trim(CASE WHEN doc_id % 5 = 0 THEN '目 录' ELSE '' END || text, {_WS})) AS chars FROM (SELECT doc_id, source, {_COVERED} AS text FROM documents))",
 )
 def page_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as pages of a book for each source; every fifth begins like a table of contents."""
-    pages = _documents(spark, sf_dir).select("source", F.col("doc_id").alias("page"), F.concat(F.when(F.col("doc_id") % 5 == 0, "目 录").otherwise(""), "text").alias("text"))
+    """Documents as pages of a book for each source, some with a short cover; every fifth begins like a table of contents."""
+    first = F.min("doc_id").over(Window.partitionBy("source"))
+    text = F.when((F.col("doc_id") == first) & (F.col("source") < "src3"), F.substring("text", 1, 30)).otherwise(F.col("text"))
+    pages = _documents(spark, sf_dir).select("source", F.col("doc_id").alias("page"), F.concat(F.when(F.col("doc_id") % 5 == 0, "目 录").otherwise(""), text).alias("text"))
     return structure.annotated(pages, ("source",)).select(F.col("page").alias("doc_id"), "is_cover", "char_len", "is_toc")
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.operators import context, dense, fusion, metrics, perturb
+from rankweave.operators import ask, cells, context, dense, fusion, generate, loop, metrics, perturb
 from rankweave.operators.lexical import LexicalIndex, bm25_rank, build_index
 from rankweave.operators.retrieve import lexical_ranker, neighbours, retrieve
 from rankweave.operators.substrings import holding
-from rankweave.plans.registry import register
+from rankweave.plans.registry import ORACLE_SQL, register
 from rankweave.session import stored
 from rankweave.sources.tables import spread, table
 
@@ -122,6 +125,13 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.dense_rank(*_vectors(spark, sf_dir))
 
 
+@register("cell_topk", _top_sql(_dense_sql()))
+def cell_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over cells, of which only those are scored that can hold a rank."""
+    vectors, asked = _vectors(spark, sf_dir)
+    return cells.cell_rank(cells.build_cells(vectors), asked)[0]
+
+
 @register("rrf_fusion", f"WITH {_fused_sql()} SELECT qid, id, round(rrf, 6) AS rrf, fused_rank FROM fused")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     fused = fusion.fuse(_two_channels(spark, sf_dir))
@@ -167,10 +177,14 @@ def ir_metrics_by_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.summary(metrics.per_query(_judgements(spark, sf_dir, gold), KS).join(slices, "qid"), ["slice"])
 
 
-@register("retrieval_failures", f"WITH {_bm25_sql(_ITEMS)}, {_GOLD} SELECT qid, CAST(min(rank) AS INTEGER) AS first_rank FROM (SELECT DISTINCT qid FROM gold) LEFT JOIN (SELECT qid, rank FROM ranked SEMI JOIN gold USING (qid, id)) USING (qid) GROUP BY qid HAVING coalesce(min(rank), 99) > 1")
+_SHORTENED = "SELECT item_id AS qid, substr(text, 1, 20) AS text FROM benchmark"
+
+
+@register("retrieval_failures", f"WITH {_bm25_sql(_SHORTENED)}, {_GOLD} SELECT qid, CAST(min(rank) AS INTEGER) AS first_rank FROM (SELECT DISTINCT qid FROM gold) LEFT JOIN (SELECT qid, rank FROM ranked SEMI JOIN gold USING (qid, id)) USING (qid) GROUP BY qid HAVING coalesce(min(rank), 99) > 1")
 def retrieval_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items whose documents are not found first."""
-    return metrics.failures(_judgements(spark, sf_dir, _gold(spark, sf_dir)), k=1)
+    """Items whose documents are not found first by their first twenty characters."""
+    asked = _items(spark, sf_dir).select("qid", F.substring("text", 1, 20).alias("text"))
+    return metrics.failures(metrics.judged(bm25_rank(_index(spark, sf_dir), asked), _gold(spark, sf_dir)), k=1)
 
 
 _VARIANTS = r"""
@@ -256,10 +270,10 @@ _RETRIEVED = f"""WITH {_bm25_sql(_QUESTIONS)},
 _SHOWN = "id, round(rrf, 6) AS rrf, bm25_rank, candidate_count"
 
 
-def _retrieved(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
+def _retrieved(spark: SparkSession, sf_dir: str, strategy: str, asked: DataFrame | None = None) -> DataFrame:
     corpus = _documents(spark, sf_dir).select("id", "pos", "text")
     lexical = lexical_ranker(_index(spark, sf_dir))
-    hits = retrieve(_items(spark, sf_dir), corpus.select("id"), lexical=lexical, mode="bm25", strategy=strategy, rules=_RULES)
+    hits = retrieve(asked if asked is not None else _items(spark, sf_dir), corpus.select("id"), lexical=lexical, mode="bm25", strategy=strategy, rules=_RULES)
     return hits.select("qid", F.col("rank").cast("int").alias("rank"), "id", "rrf", "bm25_rank", "candidate_count")
 
 
@@ -285,6 +299,61 @@ def retrieval_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _retrieved(spark, sf_dir, "guarded")
 
 
+_GUARDED = ORACLE_SQL["retrieval_guarded"]
+
+
+@register("retrieval_coverage", _GUARDED)
+def retrieval_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by facets alone, which is no other order with one channel; and blank questions, which have no hits."""
+    blank = _items(spark, sf_dir).select((F.col("qid") + 1_000_000).alias("qid"), F.lit(" \t").alias("text"))
+    return _retrieved(spark, sf_dir, "coverage", _items(spark, sf_dir).unionByName(blank))
+
+
+def _by_mode_sql(dense_channel: bool, lexical_channel: bool) -> str:
+    channels = (["SELECT qid, 0 AS channel_no, id, rank FROM near"] if dense_channel else []) + (["SELECT qid, 1, id, rank FROM ranked"] if lexical_channel else [])
+    near = _top_sql(_dense_sql().replace("q.vec_id % 100 = 0", "q.vec_id IN (SELECT item_id FROM benchmark)"))
+    return f"""WITH {_bm25_sql(_ITEMS)}, near AS ({near}), ranks(qid, channel_no, id, rank) AS ({" UNION ALL ".join(channels)}),
+  sums AS (SELECT qid, id, round(sum(1.0 / (60 + rank)), 12) AS rrf, min(channel_no * 1000 + rank) AS first, min(rank) FILTER (channel_no = 0) AS dense_rank, min(rank) FILTER (channel_no = 1) AS bm25_rank FROM ranks GROUP BY ALL),
+  fused AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, first) AS fused_rank, count(*) OVER (PARTITION BY qid) AS candidate_count FROM sums)
+SELECT qid, CAST(fused_rank AS INTEGER) AS rank, id, round(rrf, 6) AS rrf, dense_rank, bm25_rank, candidate_count FROM fused WHERE fused_rank <= 8"""
+
+
+def _by_mode(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    """Whole retrieval of the items; the vector of an item's number stands for the model's."""
+    vectors = spread(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))
+    of = vectors.select(F.col("id").alias("item"), "embedding")
+
+    def near(queries: DataFrame) -> DataFrame:
+        return dense.dense_rank(vectors, queries.join(of, F.col("qid.qid") == F.col("item")).select("qid", "embedding")).select("qid", "id", "rank")
+
+    corpus = vectors.select("id").unionByName(_documents(spark, sf_dir).select("id")).distinct()
+    hits = retrieve(_items(spark, sf_dir), corpus, near, lexical_ranker(_index(spark, sf_dir)), mode)
+    return hits.select("qid", F.col("rank").cast("int").alias("rank"), "id", "rrf", "dense_rank", "bm25_rank", "candidate_count")
+
+
+@register("retrieval_rrf", _by_mode_sql(True, True))
+def retrieval_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_mode(spark, sf_dir, "rrf")
+
+
+@register("retrieval_dense", _by_mode_sql(True, False))
+def retrieval_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_mode(spark, sf_dir, "dense")
+
+
+@register(
+    "boundary_report",
+    f"""WITH {_bm25_sql("SELECT name AS qid, text FROM (VALUES " + ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in perturb.BOUNDARY.items()) + ") t(name, text)")},
+  hits AS (SELECT qid, count(*) AS n, min(id) FILTER (rank = 1) AS top1 FROM ranked GROUP BY qid)
+SELECT name AS "case", 'bm25' AS mode, coalesce(n, 0) AS n_returned, top1 FROM (VALUES {", ".join(f"('{name}')" for name in perturb.BOUNDARY)}) t(name) LEFT JOIN hits ON qid = name""",
+)
+def boundary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boundary questions over the documents: none of them fails."""
+    suite = perturb.boundary_suite(spark, ["bm25"])
+    hits = bm25_rank(_index(spark, sf_dir), suite.select(F.col("case").alias("qid"), "text")).select(F.col("qid").alias("case"), F.lit("bm25").alias("mode"), "id", "rank")
+    return perturb.boundary_report(suite, hits)
+
+
 @register(
     "coverage_counts",
     f"""WITH {_bm25_sql(_ITEMS)}, {_GOLD}, per AS (SELECT g.qid, count(DISTINCT g.id) AS n_gold, count(rank) FILTER (rank <= 3) AS in_3, count(rank) FILTER (rank <= 8) AS in_8 FROM gold g LEFT JOIN ranked r ON r.qid = g.qid AND r.id = g.id GROUP BY g.qid)
@@ -319,3 +388,75 @@ def facet_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = dense.dense_rank(corpus, asked, score=score).select((F.col("qid") - F.col("qid") % 100).alias("qid"), (F.col("qid") % 100).cast("int").alias("query_no"), F.lit(name).alias("channel"), F.lit(number).alias("channel_no"), "id", "rank")
         ranks = own if ranks is None else ranks.unionByName(own)
     return fusion.facet_orders(ranks, True, "near")
+
+
+# ---------------------------------------------------------------- tool loops
+
+#: What the scripted model does, by the first digit of a question: the calls of each turn until it has enough.
+_SEARCH, _UNKNOWN = ("search", "{text}"), ("read", "nowhere")
+_SCRIPTS = {
+    0: [[_SEARCH], [("read", "{first}")]], 1: [], 2: [[_SEARCH, _SEARCH, _SEARCH, _SEARCH]], 3: [[_UNKNOWN]],
+    4: [[_SEARCH], [_SEARCH]], 5: [[_SEARCH], [("fly", "x")]], 6: [[_SEARCH, _UNKNOWN]], 7: None,
+}
+
+
+def _scripted() -> loop.Mover:
+    def move(question: str, history: list[str]) -> loop.Move:
+        kind, text = question.split(":", 1)
+        script = _SCRIPTS[int(kind)]
+        if script is None:
+            raise RuntimeError("no model")
+        turn = sum(1 for _ in history)
+        if turn >= len(script):
+            return loop.Move(seconds=1.0)
+        first = (json.loads(history[0]).get("ids") or ["none"])[0] if history else "none"
+        return loop.Move([(tool, {ask.ARGUMENT.get(tool, "query"): value.format(text=text, first=first)}) for tool, value in script[turn]], seconds=1.0)
+
+    return move
+
+
+def _answering() -> Callable[[str, str, int], generate.Reply]:
+    """A client that cites the first source, or for questions of kind 4 one that does not exist."""
+    return lambda packed, question, most: generate.Reply("see 〔来源9〕" if question.startswith("4") else "see 〔来源1〕", "stop", len(packed), 3)
+
+
+def _loops(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = _documents(spark, sf_dir)
+    corpus = docs.select("id", "pos", F.lit(1).alias("page"), F.lit("").alias("path"), F.substring("text", 1, 300).alias("text"))
+    asked = _items(spark, sf_dir).select("qid", F.concat((F.col("qid") % 8).cast("string"), F.lit(":"), F.substring(F.trim("text"), 1, 400)).alias("question"))
+    return loop.tool_loop(asked, lexical_ranker(_index(spark, sf_dir), 3), corpus, _scripted), corpus
+
+
+_LOOPS = f"""WITH {_bm25_sql("SELECT item_id AS qid, substr(trim(text), 1, 400) AS text FROM benchmark", 3)},
+  hits AS (SELECT qid, list(id ORDER BY rank) AS found FROM ranked GROUP BY qid),
+  kinds AS (SELECT item_id AS qid, item_id % 8 AS kind, coalesce(found, []) AS found FROM benchmark LEFT JOIN hits ON qid = item_id),
+  beside AS (SELECT qid, list(doc_id ORDER BY doc_id) AS more FROM kinds JOIN documents ON doc_id BETWEEN found[1] - 1 AND found[1] + 1 WHERE kind = 0 GROUP BY qid),
+  near AS (SELECT kinds.qid, kind, found, CASE WHEN kind IN (0, 2, 4, 5, 6) THEN found ELSE [] END AS first, coalesce(more, []) AS more FROM kinds LEFT JOIN beside USING (qid)),
+  ended AS (SELECT qid, kind, list_concat(first, list_filter(more, lambda x: NOT list_contains(first, x))) AS ids,
+    CASE WHEN kind = 1 THEN 'no_evidence' WHEN kind = 2 THEN 'limited' WHEN kind IN (3, 5, 6, 7) OR (kind = 0 AND len(found) = 0) THEN 'agent_failed' WHEN len(found) = 0 THEN 'no_evidence' ELSE 'complete' END AS status FROM near)"""
+
+
+@register(
+    "tool_loop",
+    f"""{_LOOPS}
+SELECT qid, status, CASE WHEN kind = 7 THEN 'model_request_failed' ELSE CASE status WHEN 'complete' THEN 'evidence_ready' WHEN 'no_evidence' THEN 'no_sources' WHEN 'limited' THEN 'tool_budget' ELSE 'invalid_tool_call' END END AS stop_reason,
+  CAST(CASE kind WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 3 WHEN 5 THEN 2 WHEN 6 THEN 1 ELSE 1 END AS INTEGER) AS model_calls, CAST(CASE kind WHEN 0 THEN 1 WHEN 2 THEN 3 WHEN 4 THEN 2 WHEN 5 THEN 1 WHEN 6 THEN 1 ELSE 0 END AS INTEGER) AS searches,
+  CAST(CASE WHEN kind = 0 AND status = 'complete' THEN 1 ELSE 0 END AS INTEGER) AS reads, array_to_string(ids, ',') AS ids FROM ended""",
+)
+def tool_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as questions for a scripted model that searches and reads the documents, or goes wrong in each of the ways there are."""
+    loops, _ = _loops(spark, sf_dir)
+    return loops.select("qid", "status", "stop_reason", "model_calls", F.col("searchs").alias("searches"), "reads", F.array_join("ids", ",").alias("ids"))
+
+
+@register(
+    "synthesized_answers",
+    f"""{_LOOPS}
+SELECT qid, CASE WHEN status NOT IN ('complete', 'limited') OR len(ids) = 0 THEN status WHEN kind = 4 THEN 'citation_failed' ELSE 'complete' END AS status,
+  CASE WHEN status IN ('complete', 'limited') AND len(ids) > 0 AND kind <> 4 THEN 'see 〔来源1〕' END AS answer, len(ids) AS gathered, CASE WHEN status IN ('complete', 'limited') THEN len(ids) ELSE 0 END AS in_context FROM ended""",
+)
+def synthesized_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answers from what those loops gathered; a cited source that does not exist withholds an answer."""
+    loops, corpus = _loops(spark, sf_dir)
+    found = loop.synthesized(loops, corpus, _answering)
+    return found.select("qid", "status", "answer", F.size("gathered").cast("long").alias("gathered"), F.size("in_context").cast("long").alias("in_context"))

@@ -186,7 +186,7 @@ def quote_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.containing(_documents(spark, sf_dir, F.col("doc_id").alias("id"), "text"), quotes)
 
 
-_REPLIES = "SELECT conv_id, turn, text AS answer, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS source FROM conversations QUALIFY role = 'assistant'"
+_REPLIES = "SELECT conv_id, turn, text || ' ' || conv_id % 7 AS answer, lag(text || ' ' || conv_id % 5) OVER (PARTITION BY conv_id ORDER BY turn) AS source FROM conversations QUALIFY role = 'assistant'"
 
 
 @register(
@@ -194,10 +194,11 @@ _REPLIES = "SELECT conv_id, turn, text AS answer, lag(text) OVER (PARTITION BY c
     rf"SELECT conv_id, turn, coalesce(array_to_string(list_filter(list_distinct(regexp_extract_all(answer, '{NUMBER}')), lambda f: NOT contains(regexp_replace(coalesce(source, ''), '\s+', '', 'g'), f)), ' '), '') <> '' AS ungrounded FROM ({_REPLIES})",
 )
 def ungrounded_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a reply has numbers that the turn before it lacks."""
+    """Whether a reply, with a number put to it, has numbers that the turn before it, with another, lacks."""
     turns = table(spark, sf_dir, "conversations")
-    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    replies = turns.select("conv_id", "turn", "role", F.col("text").alias("answer"), before.alias("source")).where("role = 'assistant'")
+    ended = lambda n: F.concat("text", F.lit(" "), (F.col("conv_id") % n).cast("string"))
+    before = F.lag(ended(5)).over(Window.partitionBy("conv_id").orderBy("turn"))
+    replies = turns.select("conv_id", "turn", "role", ended(7).alias("answer"), before.alias("source")).where("role = 'assistant'")
     return replies.select("conv_id", "turn", (F.size(checks.ungrounded_numbers(F.col("answer"), F.col("source"), NUMBER)) > 0).alias("ungrounded"))
 
 
