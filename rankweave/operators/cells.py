@@ -94,7 +94,7 @@ def _bounds(centres, radius) -> Iterator:
     def bounds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.flatnonzero(~np.isnan(radius.value))
         for batch in batches:
-            if batch.num_rows:
+            if batch.num_rows and len(own):
                 q = _matrix(batch.column(1))
                 most = q @ centres.value[own].T + np.linalg.norm(q, axis=1)[:, None] * radius.value[own][None, :]
                 place = (-most).argsort(axis=1, kind="stable").argsort(axis=1)

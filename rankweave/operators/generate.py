@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankweave.session import stored
+
 FIRST_TOKENS, MOST_TOKENS, ATTEMPTS = 2048, 8192, 3
 #: HTTP statuses after which no further attempt is made.
 FATAL = (400, 401, 402, 403, 404, 429)
@@ -78,6 +80,44 @@ def generate(asked: DataFrame, make_client: Callable[[], Client], evidence: bool
     return asked.mapInPandas(run, f"{fields}, answer string, status string, usage {USAGE}")
 
 
+#: Rounds for items whose reply is not valid, and the sampling temperature of each.
+TEMPERATURES = (0.0, 0.3, 0.7, 1.0)
+
+
+def residual_rounds(items: DataFrame, make_asker: Callable[[], Callable[[str, float], str | None]], valid: Callable[[Column, Column], Column], temperatures: Sequence[float] = TEMPERATURES) -> DataFrame:
+    """Items (qid, prompt) -> qid, status, round, reply: each is asked until its reply is valid, in as many rounds as there are ``temperatures``.
+
+    A round asks all open items as one table; ``valid`` (prompt, reply) decides which replies are accepted, a null counting as
+    no, and accepted items are never asked again. What is left is ``exhausted``, with its last reply. An asker (prompt,
+    temperature) that raises gives no reply. qid is unique.
+    """
+    open_items, done = items.select("qid", "prompt"), None
+    fields = ", ".join(f"`{n}` {t}" for n, t in open_items.dtypes)
+    for number, temperature in enumerate(temperatures, 1):
+
+        def ask(batches: Iterator[pd.DataFrame], temperature: float = temperature) -> Iterator[pd.DataFrame]:
+            asker = make_asker()
+            for batch in batches:
+                replies = []
+                for prompt in batch["prompt"]:
+                    try:
+                        replies.append(asker(prompt or "", temperature))
+                    except Exception:  # whatever the injected model raises is no reply
+                        replies.append(None)
+                yield batch.assign(reply=pd.Series(replies, index=batch.index, dtype=object))
+
+        asked = open_items.mapInPandas(ask, f"{fields}, reply string")
+        judged = stored(asked.withColumn("accepted", F.coalesce(valid(F.col("prompt"), F.col("reply")), F.lit(False))), "round")
+        last = number == len(temperatures)
+        closed = judged.where("accepted") if not last else judged
+        closed = closed.select("qid", F.when(F.col("accepted"), "accepted").otherwise("exhausted").alias("status"), F.lit(number).alias("round"), "reply")
+        done = closed if done is None else done.unionByName(closed)
+        open_items = judged.where("not accepted").select("qid", "prompt")
+        if not last and open_items.isEmpty():
+            break
+    return done
+
+
 def total_tokens(usage: Column) -> Column:
     """Prompt and completion tokens of all attempts; null if any is unknown."""
     each = F.transform(usage, lambda u: u["prompt_tokens"] + u["completion_tokens"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.operators import structure
+from rankweave.operators import generate, structure
 from rankweave.operators.compare import differences
 from rankweave.plans.registry import register
 from rankweave.session import new_scratch_path
@@ -93,3 +93,46 @@ def smoke_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     reports.smoke_lines(checks).select(F.concat_ws("\t", "line_no", "value").alias("value")).write.text(path)
     parts = F.split(F.col("value"), "\t")
     return spark.read.text(path).select(parts[0].cast("int").alias("line_no"), parts[1].alias("value"))
+
+
+_BOXES = "SELECT l_orderkey % 20 AS page, l_orderkey * 10 + l_linenumber AS box, CAST(l_partkey * 7 % 600 AS DOUBLE) AS x0, CAST((l_orderkey * 3 + l_linenumber * 11) % 800 AS DOUBLE) AS top FROM lineitem"
+_AREAS = "SELECT s_suppkey % 20 AS page, s_suppkey AS area, CAST(s_suppkey * 37 % 400 AS DOUBLE) AS x0, CAST(s_suppkey * 53 % 500 AS DOUBLE) AS top FROM supplier"
+
+
+@register(
+    "contained_boxes",
+    f"""SELECT b.page, area, count(*) AS n, min(box) AS least FROM ({_BOXES}) b JOIN ({_AREAS}) a ON a.page = b.page AND b.x0 >= a.x0 - 1 AND b.top >= a.top - 1 AND b.x0 + 5 <= a.x0 + 121 AND b.top + 8 <= a.top + 201 GROUP BY ALL""",
+)
+def contained_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as characters of pages, suppliers as tables on them: the characters in each table."""
+    l, s = F.col("l_orderkey"), F.col("s_suppkey")
+    boxes = table(spark, sf_dir, "lineitem").select((l % 20).alias("page"), (l * 10 + F.col("l_linenumber")).alias("box"), (F.col("l_partkey") * 7 % 600).cast("double").alias("x0"), ((l * 3 + F.col("l_linenumber") * 11) % 800).cast("double").alias("top"))
+    boxes = boxes.withColumns({"x1": F.col("x0") + 5, "bottom": F.col("top") + 8})
+    areas = table(spark, sf_dir, "supplier").select((s % 20).alias("page"), s.alias("area"), (s * 37 % 400).cast("double").alias("x0"), (s * 53 % 500).cast("double").alias("top"))
+    areas = areas.withColumns({"x1": F.col("x0") + 120, "bottom": F.col("top") + 200})
+    return files.contained(boxes, areas).groupBy("page", "area").agg(F.count("*").alias("n"), F.min("box").alias("least"))
+
+
+def _asker():
+    """A scripted model: a prompt that begins with k gets its text back from the k-th temperature on, before that nothing or a question."""
+
+    def ask(prompt: str, temperature: float) -> str | None:
+        kind, text = prompt.split(":", 1)
+        turn = generate.TEMPERATURES.index(temperature)
+        if kind == "5":
+            raise RuntimeError("no model")
+        return text[:20] if turn >= int(kind) else ("", "what?")[turn % 2]
+
+    return ask
+
+
+@register(
+    "residual_rounds",
+    """SELECT conv_id * 1000 + turn AS qid, CASE WHEN conv_id % 6 <= 3 THEN 'accepted' ELSE 'exhausted' END AS status, CAST(CASE WHEN conv_id % 6 <= 3 THEN conv_id % 6 + 1 ELSE 4 END AS INTEGER) AS round,
+  CASE WHEN conv_id % 6 <= 3 THEN substr(text, 1, 20) WHEN conv_id % 6 = 4 THEN 'what?' END AS reply FROM conversations WHERE role = 'user'""",
+)
+def residual_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns as prompts of a scripted model whose replies are valid in the first round, in a later one or in none."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    items = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.concat((F.col("conv_id") % 6).cast("string"), F.lit(":"), "text").alias("prompt"))
+    return generate.residual_rounds(items, lambda: _asker(), lambda prompt, reply: (reply != "") & F.contains(prompt, reply))

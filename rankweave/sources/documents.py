@@ -87,6 +87,26 @@ def inside(box, areas, slack: float = 1.0):
     return F.exists(areas, lambda a: (box["x0"] >= a["x0"] - slack) & (box["top"] >= a["top"] - slack) & (box["x1"] <= a["x1"] + slack) & (box["bottom"] <= a["bottom"] + slack))
 
 
+#: Width and height of the squares that boxes are dealt by.
+SQUARE = 64.0
+
+
+def contained(boxes: DataFrame, areas: DataFrame, slack: float = 1.0, square: float = SQUARE) -> DataFrame:
+    """(page, box, area): which boxes (page, box, x0, top, x1, bottom) lie in which areas (page, area, x0, top, x1, bottom), give or take ``slack``.
+
+    An area is listed under every square of its page that it reaches, a box under the square of its first corner alone, so
+    both meet at most once, by page and square; the exact test follows. Rows with a null coordinate lie in nothing and hold nothing.
+    """
+    reach = lambda low, high: F.sequence(F.floor((F.col(low) - slack) / square), F.floor((F.col(high) + slack) / square))
+    known = lambda df: df.where(" and ".join(f"{c} is not null" for c in ("x0", "top", "x1", "bottom")))
+    held = known(areas).where(f"x1 >= x0 - {2 * slack} and bottom >= top - {2 * slack}").select("page", "area", F.col("x0").alias("a0"), F.col("top").alias("atop"), F.col("x1").alias("a1"), F.col("bottom").alias("abottom"), F.explode(reach("x0", "x1")).alias("across"), reach("top", "bottom").alias("rows"))
+    held = held.withColumn("down", F.explode("rows")).drop("rows")
+    placed = known(boxes).withColumns({"across": F.floor(F.col("x0") / square), "down": F.floor(F.col("top") / square)})
+    met = placed.join(held, ["page", "across", "down"])
+    inner = (F.col("x0") >= F.col("a0") - slack) & (F.col("top") >= F.col("atop") - slack) & (F.col("x1") <= F.col("a1") + slack) & (F.col("bottom") <= F.col("abottom") + slack)
+    return met.where(inner).select("page", "box", "area")
+
+
 def index_entries(chunks: DataFrame) -> DataFrame:
     """The columns an index keeps of chunks with embeddings."""
     return chunks.select("id", "embedding", F.col("text").alias("document"), F.element_at("pages", 1).alias("page_start"), "pages", "path", F.col("clause_range").alias("clause"), "char_len")

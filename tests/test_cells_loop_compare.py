@@ -112,3 +112,35 @@ def test_differences_of_corpora(spark, levels):
     same = spark.createDataFrame(frozen, schema)
     assert compare.differences(same, same.repartition(5), levels).count() == 0
     assert compare.differences(same.limit(0), same.limit(0), levels).count() == 0
+
+
+def test_boxes_in_areas_of_any_size(spark):
+    from rankweave.sources.documents import contained
+
+    rng = np.random.default_rng(3)
+    made = lambda n, size: [(int(p), k, float(x), float(y), float(x + w), float(y + h)) for k, (p, x, y, w, h) in enumerate(zip(rng.integers(0, 3, n), rng.uniform(-50, 500, n).round(1), rng.uniform(-50, 500, n).round(1), rng.uniform(0, size, n).round(1), rng.uniform(0, size, n).round(1)))]
+    boxes, areas = made(300, 20) + [(1, 999, None, 1.0, 2.0, 3.0)], made(25, 300)
+    columns = "page int, {} int, x0 double, top double, x1 double, bottom double"
+    found = contained(spark.createDataFrame(boxes, columns.format("box")), spark.createDataFrame(areas, columns.format("area")), slack=2.0)
+    expected = {(p, b, a) for p, b, x0, t, x1, m in boxes if x0 is not None for q, a, ax0, at, ax1, am in areas if p == q and x0 >= ax0 - 2 and t >= at - 2 and x1 <= ax1 + 2 and m <= am + 2}
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == expected and len(got) == len(expected) > 20
+
+
+def test_accepted_items_are_not_asked_again(spark, tmp_path):
+    log = str(tmp_path / "asked")
+
+    def asker():
+        def ask(prompt, temperature):
+            with open(log, "a") as out:
+                out.write(f"{prompt} {temperature}\n")
+            if prompt == "never":
+                raise RuntimeError("down")
+            return {"first": "first", "second": "second" if temperature > 0 else None}[prompt]
+
+        return ask
+
+    items = spark.createDataFrame([(1, "first"), (2, "second"), (3, "never")], "qid long, prompt string").coalesce(1)
+    found = generate.residual_rounds(items, asker, lambda prompt, reply: reply == prompt, (0.0, 0.5, 1.0))
+    assert {r["qid"]: (r["status"], r["round"], r["reply"]) for r in found.collect()} == {1: ("accepted", 1, "first"), 2: ("accepted", 2, "second"), 3: ("exhausted", 3, None)}
+    assert sorted(open(log).read().split("\n")[:-1]) == ["first 0.0", "never 0.0", "never 0.5", "never 1.0", "second 0.0", "second 0.5"]
