@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,15 @@ def small_batches(df: DataFrame, size: int = 16 << 20) -> DataFrame:
     return df
 
 
+def release() -> None:
+    """Give what this Python worker has freed back to the machine: workers live on through later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def filtered(df: DataFrame, keep) -> DataFrame:
     """``df`` through a function of Arrow batches that leaves out rows; columns go by place, so names may hold dots or come twice."""
     names = df.columns

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import filtered, small_batches
+from rankweave.llm.common import filtered, release, small_batches
 from rankweave.session import drop_stored, stored
 from rankweave.sources.tables import spread, table
 
@@ -141,6 +141,7 @@ def _predictor(model):
             langs, scores = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
         own.forget()
+        release()
 
     return predict
 
@@ -162,6 +163,7 @@ def _keeper(model, text_at: int, least: float):
             found = [own.predict(text.as_py()) for text in batch.column(text_at)]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
         own.forget()
+        release()
 
     return keep
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from rankweave.llm.common import small_batches
+from rankweave.llm.common import release, small_batches
 from rankweave.llm.components import components
 from rankweave.session import drop_stored, stored
 from rankweave.sources.tables import spread, table
@@ -79,6 +79,7 @@ def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "n_shingles", "set_key", "sketch"],
         )
     _HASHES.clear()
+    release()
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -95,6 +96,7 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found.append((doc_id, values.tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["id", "members"])
     _HASHES.clear()
+    release()
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:

@@ -285,7 +285,7 @@ class UnitEncoder:
     every text of another kind of tokenizer. At most about ``kept`` units are remembered between texts.
     """
 
-    def __init__(self, path: str, kept: int = 800_000) -> None:
+    def __init__(self, path: str, kept: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
