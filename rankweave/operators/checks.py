@@ -103,7 +103,7 @@ def source_chunks(chunks: DataFrame, quotas: DataFrame) -> DataFrame:
     ``chunks`` has id, pos, chapter, score, is_table; ties go by pos.
     """
     place = F.row_number().over(Window.partitionBy("chapter").orderBy(F.desc("score"), "pos"))
-    picked = chunks.withColumn("place", place).join(F.broadcast(quotas), "chapter").where(F.col("place") <= F.col("quota")).select(*chunks.columns)
+    picked = chunks.withColumn("place", place).join(quotas, "chapter").where(F.col("place") <= F.col("quota")).select(*chunks.columns)
     tables = chunks.where("is_table").join(picked.select("id"), "id", "left_anti").select(*chunks.columns)
     return picked.unionByName(tables)
 

@@ -58,7 +58,7 @@ def ranked_values(rows: DataFrame, by: Sequence[str], value: str, places: dict[s
     of_key, earlier = Window.partitionBy("key"), Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("key", "range", F.sum("times").over(of_key).alias("n"), F.coalesce(F.sum("times").over(earlier), F.lit(0)).alias("of_ranges"))
     own = Window.partitionBy("key", "range").orderBy("value")
-    placed = counts.withColumn("upto", F.sum("times").over(own)).alias("c").join(F.broadcast(totals).alias("t"), F.col("c.key").eqNullSafe(F.col("t.key")) & (F.col("c.range") == F.col("t.range")))
+    placed = counts.withColumn("upto", F.sum("times").over(own)).alias("c").join(totals.alias("t"), F.col("c.key").eqNullSafe(F.col("t.key")) & (F.col("c.range") == F.col("t.range")))
     placed = placed.select("c.key", "c.value", "c.times", "t.n", (F.col("upto") + F.col("of_ranges")).alias("upto"))
     at = lambda place: F.max(F.when((place < F.col("upto")) & (place >= F.col("upto") - F.col("times")), F.col("value")))
     found = stored(placed.groupBy("key").agg(F.max("n").alias("n"), *[at(place).alias(name) for name, place in places.items()]), "ranked")

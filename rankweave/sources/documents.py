@@ -117,6 +117,8 @@ def rebuild_index(entries: DataFrame, path: str) -> None:
 
 
 def append_index(entries: DataFrame, path: str) -> None:
-    """Adds the entries whose id is new."""
+    """Adds the entries whose id is new; of entries that share an id the one whose row is least as JSON."""
     known = entries.sparkSession.read.parquet(path).select("id")
-    entries.dropDuplicates(["id"]).join(known, "id", "left_anti").write.mode("append").parquet(path)
+    row = F.struct(*[F.col(f"`{c}`") for c in entries.columns])
+    fresh = entries.join(known, "id", "left_anti").select(entries.columns)
+    fresh.groupBy("id").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*").write.mode("append").parquet(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rankweave.operators.experiment import latest, remaining
 
@@ -14,11 +15,15 @@ def stream_rows(spark: SparkSession, path: str, schema: str, max_files: int = 10
 
 
 def append_once(rows: DataFrame, keys: Sequence[str], target: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda d: d):
-    """Append rows of keys that the target lacks, batch by batch; a batch that comes again adds nothing. The started query."""
+    """Append rows of keys that the target lacks, batch by batch; a batch that comes again adds nothing. The started query.
+
+    Of rows of a batch that share their keys the one that is least as JSON counts.
+    """
 
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        fresh = transform(batch.dropDuplicates(list(keys)))
+        row = F.struct(*[F.col(f"`{c}`") for c in batch.columns])
+        fresh = transform(batch.groupBy(*keys).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*"))
         path = spark._jvm.org.apache.hadoop.fs.Path(target)
         if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
             fresh = remaining(fresh, spark.read.parquet(target), keys)
