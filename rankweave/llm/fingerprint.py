@@ -24,6 +24,10 @@ _ALONE = "".join(rf"\p{{Is{name}}}" for name in ("Han", "Hiragana", "Katakana",
 _ENDS, LONGEST = "aeoAEO05/", 8
 #: A character of such a script, or others up to one that ends a token with the white space after them, or space.
 TOKEN = rf"([{_ALONE}]|[^\s{_ALONE}{_ENDS}]{{0,{LONGEST - 1}}}[{_ENDS}]\s?|[^\s{_ALONE}{_ENDS}]{{1,{LONGEST}}}\s?|\s)"
+#: The same tokens without scripts looked up for ASCII characters, and without going back: no character stands in two of the classes.
+_PLAIN = "".join(rf"\x{k:02x}" for k in range(0x21, 0x7F) if chr(k) not in _ENDS)
+_OTHER = rf"[[{_PLAIN}][^\s{_ALONE}{_ENDS}]]"
+_FAST_TOKEN = rf"{_OTHER}{{1,{LONGEST - 1}}}+(?:[{_ENDS}]|{_OTHER}?+)\s?+|[{_ENDS}]\s?+|\s|[{_ALONE}]"
 #: An element is a long: a hash in the upper bits, its place in the text in the lower (in steps where there are more places).
 PLACE_BITS = 24
 _PLACE = (1 << PLACE_BITS) - 1
@@ -52,12 +56,23 @@ def _runs(sorted_elements: Column) -> Column:
     return _let(sorted_elements, lambda e: _let(heads(e), lambda h: F.flatten(F.transform(lengths(e, h), lambda n: F.sequence(F.lit(0), n - 1)))))
 
 
+def _ring(sorted_elements: Column) -> Column:
+    """Of the numbered elements, sorted, those that a point can select or that can follow one.
+
+    The first occurrences keep their hash and their order; the others are hashed anew with their number. Of the former, the
+    first two of each bucket are enough: in its bucket, at most one stands before the one that follows the first.
+    """
+    again = lambda e: lambda x, i: (i > 0) & (x.bitwiseXOR(F.get(e, i - 1)).bitwiseAND(F.lit(_HASH)) == 0)
+    once = lambda e: F.filter(e, lambda x, i: ~again(e)(x, i))
+    early = lambda f: F.filter(f, lambda x, i: (i < 2) | (F.shiftright(x, 58) != F.shiftright(F.get(f, i - 2), 58)))
+    anew = lambda x, n: F.xxhash64(x.bitwiseAND(F.lit(_HASH)), n + 1).bitwiseAND(F.lit(_HASH)).bitwiseOR(x.bitwiseAND(F.lit(_PLACE)))
+    others = lambda e: _let(F.filter(e, again(e)), lambda r: F.zip_with(r, _runs(r), anew))
+    return _let(sorted_elements, lambda e: _let(once(e), lambda f: F.when(F.size(f) == F.size(e), early(f)).otherwise(F.sort_array(F.concat(early(f), others(e))))))
+
+
 def fingerprint(text: Column) -> Column:
     """The SLOTS tuple hashes of a text (null: empty) as an array of ints; equal texts have equal ones."""
-    tokens = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 1), lambda w: F.xxhash64(w))
-    numbered = lambda e: F.zip_with(
-        e, _runs(e), lambda x, n: F.when(n == 0, x).otherwise(F.xxhash64(x.bitwiseAND(F.lit(_HASH)), n).bitwiseAND(F.lit(_HASH)).bitwiseOR(x.bitwiseAND(F.lit(_PLACE))))
-    )
+    tokens = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_FAST_TOKEN), 0), lambda w: F.xxhash64(w))
     bucket = lambda x: F.shiftright(x, 58) + SLOTS // 2
     starts = lambda r: F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda i: (i == 0) | (bucket(F.get(r, i)) != bucket(F.get(r, i - 1))))
     place = lambda x: x.bitwiseAND(F.lit(_PLACE))
@@ -73,7 +88,7 @@ def fingerprint(text: Column) -> Column:
         ))
 
     none = F.array_repeat(F.lit(0), SLOTS)
-    return _let(_elements(tokens), lambda e: F.when(F.size(e) == 0, none).otherwise(_let(F.sort_array(numbered(e)), slots)))
+    return _let(_elements(tokens), lambda e: F.when(F.size(e) == 0, none).otherwise(_let(_ring(e), slots)))
 
 
 def likeness(left: Column, right: Column) -> Column:

@@ -97,3 +97,18 @@ def test_places_beyond_the_bits_are_taken_in_steps(spark, monkeypatch):
     text = " ".join(str(k * 7919 % 9973) for k in range(800))
     a, b = spark.createDataFrame([(text, text.replace("7919 ", "x "))], "a string, b string").select(fp.fingerprint(F.col("a")), fp.fingerprint(F.col("b"))).head()
     assert sum(x == y for x, y in zip(a, b)) > 50
+
+
+def test_tokens_without_lookups_of_scripts_are_the_same(spark):
+    texts = ["".join(map(chr, range(1, 0x250))), "".join(chr(k) for k in range(0x250, 0x11000, 37) if not 0xD800 <= k < 0xE000), "bcdfghjkbcdfghj e\tbcdfghje  xa 中b中　かก🙂🙂a", "b" * 50 + "e" * 9, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", F.regexp_extract_all("t", F.lit(fp._FAST_TOKEN), 0).alias("fast"), F.regexp_extract_all("t", F.lit(fp.TOKEN), 1).alias("plain")).collect()
+    assert len(rows) == 5 and all(r.fast == r.plain and "".join(r.fast) == r.t for r in rows)
+
+
+def test_few_elements_of_a_text_are_sorted_again(spark):
+    own = [k * 7919 % 65536 - 32768 << 48 | k for k in range(5000)]
+    twice = [x & fp._HASH | 6000 + k for k, x in enumerate(own[:30])]
+    ring = spark.createDataFrame([(sorted(own + twice),)], "e array<long>").select(fp._ring(F.col("e")).alias("r")).head().r
+    assert ring == sorted(ring) and len(ring) == 2 * fp.SLOTS + 30
+    assert set(ring) & set(own) == {x for b in range(-32, 32) for x in sorted(o for o in own if o >> 58 == b)[:2]}
