@@ -31,6 +31,7 @@ _LAST, _NUMBER = (1 << 63) - 1, (1 << 31) - 1
 #: Bit of a posting that says that its line is removed already.
 _GONE = 1 << 62
 
+_BLANKS = bytes.maketrans(b"\t\x0b\x0c\r", b"    ")
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -42,7 +43,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _plain(text: Column) -> Column:
-    """Lower case, with a blank for every other white space than a line feed."""
+    """Lower case, with a blank for every other white space than a line feed (as :func:`_blocks` has it)."""
     return F.lower(F.when(text.rlike("[\t\x0b\x0c\r]"), F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text))
 
 
@@ -86,17 +87,17 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(texts: pa.Array) -> Iterator[tuple[int, int, bytes]]:
-    """(from, to, texts joined by line feeds) of about BLOCK bytes."""
+    """(from, to, texts joined by line feeds) of about BLOCK bytes, with a blank for every other white space."""
     start, held, parts = 0, 0, []
     for k, text in enumerate(texts):
         raw = text.as_buffer().to_pybytes() if text.is_valid else b""
         parts.append(raw)
         held += len(raw) + 1
         if held >= BLOCK:
-            yield start, k + 1, b"\n".join(parts)
+            yield start, k + 1, b"\n".join(parts).translate(_BLANKS)
             start, held, parts = k + 1, 0, []
     if parts:
-        yield start, len(texts), b"\n".join(parts)
+        yield start, len(texts), b"\n".join(parts).translate(_BLANKS)
 
 
 def _cells(hashes: np.ndarray) -> np.ndarray:
@@ -114,7 +115,7 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rarity(docs: DataFrame) -> bytes:
     """For each cell of the words' hashes the class of its count, a byte each. All words of all lines are counted."""
-    counts = docs.select(_plain(F.col("text"))).mapInArrow(_count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    counts = docs.select(F.lower("text")).mapInArrow(_count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     classes = np.zeros(CELLS, np.uint8)
     found = counts.select("cell", F.least(F.lit(127), F.floor(F.log2("n") * CLASSES)).cast("int").alias("class")).toArrow()  # CELLS rows at most
     classes[found.column(0).to_numpy()] = found.column(1).to_numpy()
@@ -222,46 +223,43 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def _matches(docs: DataFrame) -> DataFrame:
     """(late, early): places (doc, ln) of the lines of ``docs`` (doc, key, text) that are similar to an earlier one, each once."""
     classes = docs.sparkSession.sparkContext.broadcast(_rarity(docs))  # CELLS bytes
-    lines = small_batches(docs).select("doc", "key", _plain(F.col("text"))).mapInArrow(_cutter(classes), "doc long, ln long, s long, s2 long, n int, x long, y long, first array<int>")
+    lines = small_batches(docs).select("doc", "key", F.lower("text")).mapInArrow(_cutter(classes), "doc long, ln long, s long, s2 long, n int, x long, y long, first array<int>")
     lines = stored(lines, "lines")
     # lines with equal sets meet at their first one
     place = F.struct("doc", "ln")
     heads = lines.groupBy("s", "s2").agg(F.min(place).alias("head"), F.count("*").alias("n_lines")).where("n_lines > 1").drop("n_lines")
     dealt = lines.join(heads, ["s", "s2"], "left").withColumn("copy", F.coalesce(F.col("head") != place, F.lit(False)))
-    dealt = dealt.select(
-        F.monotonically_increasing_id().alias("id"), "doc", "ln", "n", "x", "y", F.when(~F.col("copy"), F.col("first")).alias("first"), F.when(F.col("copy"), F.col("head")).alias("head"), F.col("head").isNotNull().alias("shared")
-    )
+    dealt = dealt.select("doc", "ln", "n", "x", "y", F.when(~F.col("copy"), F.col("first")).alias("first"), F.when(F.col("copy"), F.col("head")).alias("head"), F.col("head").isNotNull().alias("shared"))
     dealt = stored(dealt, "dealt")
     drop_stored(lines)
     copies = dealt.where("head is not null").select(place.alias("late"), F.col("head").alias("early")).distinct()
-    reps = dealt.where("size(first) > 0").select("id", "doc", "ln", "n", "x", "y", "first", "shared")
+    reps = dealt.where("size(first) > 0").select("doc", "ln", "n", "x", "y", "first", "shared")
     # rows that share doc_id and text bring their lines twice
     reps = reps.where("not shared").unionByName(reps.where("shared").dropDuplicates(["doc", "ln"])).drop("shared")
     # the earliest line of a few of each line's lists is tried first: of many near copies most end here
-    tried = reps.select("doc", "ln", "n", "x", "y", F.explode(F.slice(F.array_sort("first"), 1, TRIED)).alias("w"))
+    tried = reps.select("doc", "ln", "n", "x", "y", F.explode(F.slice(F.sort_array("first"), 1, TRIED)).alias("w"))
     earliest = tried.groupBy("w").agg(F.min(F.struct("doc", "ln", "n", "x", "y")).alias("a"), F.count("*").alias("m")).where("m > 1").select("w", "a.*")
     met = earliest.alias("a").join(tried.alias("b"), (F.col("a.w") == F.col("b.w")) & _before("a", "b") & _possible(F.col("a.n"), F.col("b.n")))
     names = lambda side: F.struct(f"{side}.doc", f"{side}.ln")
     found = _verified(met.select(names("a").alias("early"), names("b").alias("late")), docs)
-    # then all lines meet that share a token of their prefixes, but for two that are both removed; both sides of the join
+    # then each line that is not removed meets all earlier ones that share a token of their prefixes; both sides of the join
     # read the same columns, so that one exchange of the postings serves both
     gone = found.select("late.*").withColumn("gone", F.lit(_GONE))
-    marked = reps.join(F.broadcast(gone) if gone.count() <= SENT else gone, ["doc", "ln"], "left").select("id", "x", "y", F.coalesce("gone", F.lit(0)).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 31)).alias("n"), "first")
+    marked = reps.join(F.broadcast(gone) if gone.count() <= SENT else gone, ["doc", "ln"], "left").select("doc", "ln", "x", "y", F.coalesce("gone", F.lit(0)).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 31)).alias("n"), "first")
     marked = stored(marked, "marked")
-    postings = marked.select("id", "x", "y", "n", F.posexplode("first").alias("at", "w")).select("w", "id", "x", "y", F.col("n").bitwiseOR(F.col("at")).alias("info"))
+    postings = marked.select("doc", "ln", "x", "y", "n", F.posexplode("first").alias("at", "w")).select("w", "doc", "ln", "x", "y", F.col("n").bitwiseOR(F.col("at")).alias("info"))
     of = lambda side, c: F.col(f"{side}.{c}")
     size = lambda side: F.shiftright(of(side, "info"), 31).bitwiseAND(F.lit(_NUMBER))
     left = lambda side: size(side) - of(side, "info").bitwiseAND(F.lit(_NUMBER))
     n, m = size("a"), size("b")
     placed = F.least(left("a"), left("b")) >= F.ceil((n + m) * PERCENT / (100 + PERCENT))
-    still = F.least(of("a", "info"), of("b", "info")) < _GONE
-    meet = (of("a", "w") == of("b", "w")) & (of("a", "id") < of("b", "id")) & still & placed & _possible(n, m)
-    pairs = stored(postings.alias("a").join(postings.alias("b"), meet).select(of("a", "id").alias("a"), of("b", "id").alias("b")).distinct(), "met")
-    places = reps.select("id", place.alias("place"))
-    placed_pairs = pairs.join(places.select(F.col("id").alias("a"), F.col("place").alias("p")), "a").join(places.select(F.col("id").alias("b"), F.col("place").alias("q")), "b")
-    more = _verified(placed_pairs.select(F.least("p", "q").alias("early"), F.greatest("p", "q").alias("late")).join(found.select("late"), "late", "left_anti"), docs)
+    # of both sides, so that it is not taken before the exchange
+    still = F.when(_before("a", "b"), of("b", "info")).otherwise(F.lit(_GONE)) < _GONE
+    meet = (of("a", "w") == of("b", "w")) & still & placed & _possible(n, m)
+    pairs = postings.alias("a").join(postings.alias("b"), meet).select(names("a").alias("early"), names("b").alias("late"))
+    more = _verified(pairs, docs)
     result = stored(copies.unionByName(found).unionByName(more), "removed")
-    drop_stored(dealt, found, more, pairs, marked)
+    drop_stored(dealt, found, more, marked)
     return result
 
 

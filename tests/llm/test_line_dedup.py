@@ -122,3 +122,21 @@ def test_long_lines(spark):
     rows = [(1, " ".join(words)), (2, " ".join(words[40_000:])), (3, " ".join(words[100_000:]))]
     got = ld.later_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [tuple(r) for r in got if r.doc_id == 2] == [(2, 0, 1, 0)] and {r.doc_id for r in got} == {2, 3}
+
+
+def test_removed_lines_are_not_paired_with_each_earlier_one(spark, monkeypatch):
+    base = [f"w{k}" for k in range(40)]
+    early = [[f"e{i}x{k}" if k // 5 == i else w for k, w in enumerate(base)] for i in range(8)]  # similar to base, not to one another
+    rows = [(k, " ".join(own)) for k, own in enumerate(early + [[*base, f"own{k}"] for k in range(150)])]
+    sizes, keep = [], ld.stored
+
+    def counted(df, name):
+        out = keep(df, name)
+        if name in ("met", "pairs"):
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(ld, "stored", counted)
+    got = ld.later_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.line_no) for r in got} == brute(rows) == {(k, 0) for k in range(8, 158)}
+    assert sum(sizes) <= 3 * len(rows)
