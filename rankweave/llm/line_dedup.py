@@ -1,28 +1,26 @@
 """Lines that repeat an earlier line, exactly or nearly: an exact set-similarity join.
 
-Words are counted and lines are cut into tokens by numpy in Python tasks (the README says why); dealing, joining and
-verifying are DataFrame operations.
+Counting, cutting, dealing, joining and verifying are DataFrame operations. :func:`word_hashes` and :func:`token_rows` cut
+the bytes of a text by numpy, for callers outside Spark; no query runs them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import small_batches
 from rankweave.session import drop_stored, stored
 from rankweave.sources.tables import spread, table
 
 #: Percent of the union that similar lines share.
 PERCENT = 75
-#: Cells in which words are counted for their rarity; classes of a count to a doubling.
-CELLS, CLASSES = 1 << 18, 4
-#: Bytes of text that are cut into words at once; bytes of texts whose lines are sorted at once.
-PIECE, BLOCK = 1 << 20, 1 << 21
+#: Cells in which tokens are counted for their rarity; classes of a count to a doubling.
+CELLS, CLASSES = 1 << 16, 4
+#: Bytes of text that are cut into words at once.
+PIECE = 1 << 20
 #: Lists of a line whose earliest member is tried first.
 TRIED = 2
 #: Most lines whose places are broadcast (about 30 MB).
@@ -31,7 +29,6 @@ _LAST, _NUMBER = (1 << 63) - 1, (1 << 31) - 1
 #: Bit of a posting that says that its line is removed already.
 _GONE = 1 << 62
 
-_BLANKS = bytes.maketrans(b"\t\x0b\x0c\r", b"    ")
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -43,7 +40,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _plain(text: Column) -> Column:
-    """Lower case, with a blank for every other white space than a line feed (as :func:`_blocks` has it)."""
+    """Lower case, with a blank for every other white space than a line feed."""
     return F.lower(F.when(text.rlike("[\t\x0b\x0c\r]"), F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text))
 
 
@@ -86,42 +83,10 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(places)
 
 
-def _blocks(texts: pa.Array) -> Iterator[tuple[int, int, bytes]]:
-    """(from, to, texts joined by line feeds) of about BLOCK bytes, with a blank for every other white space."""
-    start, held, parts = 0, 0, []
-    for k, text in enumerate(texts):
-        raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-        parts.append(raw)
-        held += len(raw) + 1
-        if held >= BLOCK:
-            yield start, k + 1, b"\n".join(parts).translate(_BLANKS)
-            start, held, parts = k + 1, 0, []
-    if parts:
-        yield start, len(texts), b"\n".join(parts).translate(_BLANKS)
-
-
 def _cells(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(40)).astype(np.int64) & (CELLS - 1)
 
 
-def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(CELLS, np.int64)
-    for batch in batches:
-        for _, _, data in _blocks(batch.column(0)):
-            counts += np.bincount(_cells(word_hashes(data)[0]), minlength=CELLS)
-    cells = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(counts[cells])], names=["cell", "n"])
-
-
-def _rarity(docs: DataFrame) -> bytes:
-    """For each cell of the words' hashes the class of its count, a byte each. All words of all lines are counted."""
-    counts = docs.select(F.lower("text")).mapInArrow(_count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    classes = np.zeros(CELLS, np.uint8)
-    found = counts.select("cell", F.least(F.lit(127), F.floor(F.log2("n") * CLASSES)).cast("int").alias("class")).toArrow()  # CELLS rows at most
-    classes[found.column(0).to_numpy()] = found.column(1).to_numpy()
-    return classes.tobytes()
-
-
 def token_rows(data: bytes, classes: np.ndarray) -> dict[str, np.ndarray]:
     """The lines of ``data`` that have words: line, s and s2 (of the set), n, x, y, and the tokens of their prefixes one after another with how many each has.
 
@@ -154,24 +119,36 @@ def token_rows(data: bytes, classes: np.ndarray) -> dict[str, np.ndarray]:
     return {"line": numbers, "s": s.view(np.int64), "s2": s2.view(np.int64), "n": n, "x": x, "y": y, "many": many, "first": first}
 
 
-def _cutter(classes):
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.frombuffer(classes.value, np.uint8)
-        for batch in batches:
-            doc, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for low, high, data in _blocks(batch.column(2)):
-                rows = token_rows(data, own)
-                ends = np.array([text.as_buffer().to_pybytes().count(b"\n") + 1 if text.is_valid else 1 for text in batch.column(2)[low:high]])
-                before = np.cumsum(ends) - ends
-                of = np.searchsorted(before, rows["line"], "right") - 1
-                number = rows["line"] - before[of]
-                ends = np.append(0, np.cumsum(rows["many"])).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc[low:high][of]), pa.array(key[low:high][of] | number), pa.array(rows["s"]), pa.array(rows["s2"]), pa.array(rows["n"].astype(np.int32)), pa.array(rows["x"]), pa.array(rows["y"]), pa.ListArray.from_arrays(pa.array(ends), pa.array(rows["first"]))],
-                    names=["doc", "ln", "s", "s2", "n", "x", "y", "first"],
-                )
+def _tokens(docs: DataFrame) -> DataFrame:
+    """doc, ln, s, s2, n and the tokens of every line of ``docs`` (doc, key, text) that has words.
+
+    Tokens are 31 bits of the hashes of the line's distinct words; words that share them count one by one. s and s2 are
+    128 bits of the set of hashes.
+    """
+    sets = _lines(docs).where(F.trim("line") != "").select("doc", "ln", F.sort_array(_hashes(F.col("line"))).alias("words"))
+    tokens = F.transform("words", lambda h: h.bitwiseAND(F.lit(_NUMBER)).cast("int"))
+    return sets.select("doc", "ln", F.xxhash64("words").alias("s"), F.xxhash64(F.lit(1), "words").alias("s2"), F.size("words").alias("n"), tokens.alias("tokens"))
+
+
+def _rarity(lines: DataFrame) -> Column:
+    """For each cell of tokens the class of its count, as an array. All tokens of all lines are counted."""
+    counts = lines.select(F.explode("tokens").alias("t")).groupBy(F.col("t").bitwiseAND(F.lit(CELLS - 1)).alias("cell")).agg(F.count("*").alias("n"))
+    classes = ["0"] * CELLS
+    for cell, found in counts.select("cell", F.floor(F.log2("n") * CLASSES).cast("int")).collect():  # CELLS rows at most
+        classes[cell] = str(found)
+    return F.split(F.lit(",".join(classes)), ",").cast("array<short>")
+
+
+def _prefix(classes: Column) -> Column:
+    """The rarest tokens of a line, as many as must hold one that any similar line has too; of 1 or 2 words, 75 % of the union are all."""
+    ranked = F.sort_array(F.transform("tokens", lambda t: F.shiftleft(F.get(classes, t.bitwiseAND(F.lit(CELLS - 1))).cast("long"), 31).bitwiseOR(t.cast("long"))))
+    many = F.when(F.col("n") > 2, F.col("n") - F.ceil(F.col("n") * PERCENT / 100).cast("int") + 1).otherwise(0)
+    return F.transform(F.slice(ranked, F.lit(1), many), lambda t: t.bitwiseAND(F.lit(_NUMBER)).cast("int"))
 
-    return cut
+
+def _turned(one: Callable[[Column], Column]) -> Column:
+    """64 bits of a line: each token t turns over the bit t modulo 64 if ``one(t)`` is 1."""
+    return F.aggregate("tokens", F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(F.call_function("shiftleft", one(t), t)))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -201,65 +178,93 @@ def _possible(n: Column, m: Column) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT) & (differ <= n + m - needed * 2)
 
 
+def _sets(places: DataFrame, docs: DataFrame) -> DataFrame:
+    """place and words (hashes of the distinct words) of the lines of ``docs`` at ``places`` (doc, ln): they alone are cut again."""
+    wanted = stored(places.distinct(), "wanted")
+    own = wanted.select("doc", F.col("ln").bitwiseAND(F.lit(~_NUMBER)).alias("key"), _number("ln").alias("at"), F.struct("doc", "ln").alias("place"))
+    # rows that share doc_id and text bring their lines twice
+    texts = docs.join(F.broadcast(own) if wanted.count() <= SENT else own, ["doc", "key"])
+    cut = texts.select("place", F.get(F.split("text", "\n"), F.col("at")).alias("line")).dropDuplicates(["place"])
+    sets = stored(cut.select("place", _hashes(_plain(F.col("line"))).alias("words")), "sets")
+    drop_stored(wanted)
+    return sets
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(late, early): those of ``pairs`` that are similar on their whole sets, one early line for each late one."""
+    of = lambda side, words: sets.select(F.col("place").alias(side), F.col("words").alias(words))
+    pairs = stored(pairs, "compared")
+    found = (F.broadcast(pairs) if pairs.count() <= SENT // 2 else pairs).join(of("early", "p"), "early").join(of("late", "q"), "late")
+    both = F.size(F.array_intersect("p", "q"))
+    found = stored(found.where(both * 100 >= PERCENT * (F.size("p") + F.size("q") - both)).groupBy("late").agg(F.min("early").alias("early")), "found")
+    drop_stored(pairs)
+    return found
+
+
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """(late, early): the pairs of places (doc, ln) that are similar on their whole sets, one early line for each late one.
 
-    Only lines that stand in a pair are cut into words again.
+    ``pairs`` has the share of bits that differ, too: each late line is compared with its likeliest early one first, and
+    with the others only if that is not similar, so a group of near copies is compared once for each line.
     """
-    pairs = stored(pairs.distinct(), "pairs")
-    wanted = stored(pairs.select(F.explode(F.array("early", "late")).alias("place")).select("place.*").distinct(), "wanted")
-    small = wanted.count() <= SENT
-    own = docs.join(F.broadcast(wanted.select("doc").distinct()) if small else wanted.select("doc").distinct(), "doc", "left_semi")
-    lines = _lines(own).join(F.broadcast(wanted) if small else wanted, ["doc", "ln"])
-    sets = lines.select(F.struct("doc", "ln").alias("place"), _hashes(F.col("line")).alias("words"))
-    found = pairs.join(sets.select(F.col("place").alias("early"), F.col("words").alias("p")), "early").join(sets.select(F.col("place").alias("late"), F.col("words").alias("q")), "late")
-    both = F.size(F.array_intersect("p", "q"))
-    found = found.where(both * 100 >= PERCENT * (F.size("p") + F.size("q") - both)).groupBy("late").agg(F.min("early").alias("early"))
-    found = stored(found, "found")
-    drop_stored(pairs, wanted)
+    pairs = stored(pairs.groupBy("late", "early").agg(F.min("share").alias("share")), "pairs")
+    sets = _sets(pairs.select(F.explode(F.array("early", "late")).alias("place")).select("place.*"), docs)
+    best = pairs.groupBy("late").agg(F.min_by("early", F.struct("share", "early")).alias("early"))
+    first = _similar(best, sets)
+    rest = pairs.select("late", "early").join(first.select("late"), "late", "left_anti").join(best, ["late", "early"], "left_anti")
+    found = first.unionByName(_similar(rest, sets))
+    drop_stored(pairs, sets)
     return found
 
 
 def _matches(docs: DataFrame) -> DataFrame:
     """(late, early): places (doc, ln) of the lines of ``docs`` (doc, key, text) that are similar to an earlier one, each once."""
-    classes = docs.sparkSession.sparkContext.broadcast(_rarity(docs))  # CELLS bytes
-    lines = small_batches(docs).select("doc", "key", F.lower("text")).mapInArrow(_cutter(classes), "doc long, ln long, s long, s2 long, n int, x long, y long, first array<int>")
-    lines = stored(lines, "lines")
+    lines = stored(_tokens(docs), "lines")
+    classes = _rarity(lines)
     # lines with equal sets meet at their first one
     place = F.struct("doc", "ln")
-    heads = lines.groupBy("s", "s2").agg(F.min(place).alias("head"), F.count("*").alias("n_lines")).where("n_lines > 1").drop("n_lines")
-    dealt = lines.join(heads, ["s", "s2"], "left").withColumn("copy", F.coalesce(F.col("head") != place, F.lit(False)))
-    dealt = dealt.select("doc", "ln", "n", "x", "y", F.when(~F.col("copy"), F.col("first")).alias("first"), F.when(F.col("copy"), F.col("head")).alias("head"), F.col("head").isNotNull().alias("shared"))
-    dealt = stored(dealt, "dealt")
+    heads = stored(lines.groupBy("s", "s2").agg(F.min(place).alias("head"), F.count("*").alias("n_lines")).where("n_lines > 1").drop("n_lines"), "heads")
+    heads = F.broadcast(heads) if heads.count() <= SENT else heads
+    copies = stored(lines.join(heads, ["s", "s2"]).where(F.col("head") != place).select(place.alias("late"), F.col("head").alias("early")).distinct(), "copies")
+    reps = lines.where("n > 2").join(heads, ["s", "s2"], "left").where(F.col("head").isNull() | (F.col("head") == place))
+    reps = reps.select("doc", "ln", "n", _turned(lambda t: F.lit(1).cast("long")).alias("x"), _turned(lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(1)).cast("long")).alias("y"), _prefix(classes).alias("first"), F.col("head").isNotNull().alias("shared"))
+    # of 128 bits each token turns over one, so two sets differ in at least as many tokens as bits
+    reps = dealt = stored(reps.withColumn("x", F.col("x").bitwiseXOR(F.col("y"))), "dealt")
     drop_stored(lines)
-    copies = dealt.where("head is not null").select(place.alias("late"), F.col("head").alias("early")).distinct()
-    reps = dealt.where("size(first) > 0").select("doc", "ln", "n", "x", "y", "first", "shared")
     # rows that share doc_id and text bring their lines twice
     reps = reps.where("not shared").unionByName(reps.where("shared").dropDuplicates(["doc", "ln"])).drop("shared")
+    of = lambda side, c: F.col(f"{side}.{c}")
+    names = lambda side: F.struct(f"{side}.doc", f"{side}.ln")
+    differ = F.bit_count(of("a", "x").bitwiseXOR(of("b", "x"))) + F.bit_count(of("a", "y").bitwiseXOR(of("b", "y")))
     # the earliest line of a few of each line's lists is tried first: of many near copies most end here
     tried = reps.select("doc", "ln", "n", "x", "y", F.explode(F.slice(F.sort_array("first"), 1, TRIED)).alias("w"))
     earliest = tried.groupBy("w").agg(F.min(F.struct("doc", "ln", "n", "x", "y")).alias("a"), F.count("*").alias("m")).where("m > 1").select("w", "a.*")
     met = earliest.alias("a").join(tried.alias("b"), (F.col("a.w") == F.col("b.w")) & _before("a", "b") & _possible(F.col("a.n"), F.col("b.n")))
-    names = lambda side: F.struct(f"{side}.doc", f"{side}.ln")
-    found = _verified(met.select(names("a").alias("early"), names("b").alias("late")), docs)
-    # then each line that is not removed meets all earlier ones that share a token of their prefixes; both sides of the join
-    # read the same columns, so that one exchange of the postings serves both
+    found = _verified(met.select(names("a").alias("early"), names("b").alias("late"), (differ / (of("a", "n") + of("b", "n"))).alias("share")), docs)
+    # then each line that is not removed meets all earlier ones that share a token of their prefixes; the smaller line has it
+    # among its first tokens of a seventh, so the other tokens of lines do not meet one another
     gone = found.select("late.*").withColumn("gone", F.lit(_GONE))
-    marked = reps.join(F.broadcast(gone) if gone.count() <= SENT else gone, ["doc", "ln"], "left").select("doc", "ln", "x", "y", F.coalesce("gone", F.lit(0)).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 31)).alias("n"), "first")
+    marked = reps.join(F.broadcast(gone) if gone.count() <= SENT else gone, ["doc", "ln"], "left").select("doc", "ln", "x", "y", F.coalesce("gone", F.lit(0)).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 31)).alias("info"), "n", "first")
     marked = stored(marked, "marked")
-    postings = marked.select("doc", "ln", "x", "y", "n", F.posexplode("first").alias("at", "w")).select("w", "doc", "ln", "x", "y", F.col("n").bitwiseOR(F.col("at")).alias("info"))
-    of = lambda side, c: F.col(f"{side}.{c}")
+    drop_stored(dealt)
+    postings = marked.select("doc", "ln", "x", "y", "n", "info", F.posexplode("first").alias("at", "w"))
+    few = F.col("n") - F.ceil(F.col("n") * (2 * PERCENT) / (100 + PERCENT)).cast("int") + 1
+    core, others = (postings.where(side).select("w", "doc", "ln", "x", "y", F.col("info").bitwiseOR(F.col("at")).alias("info")) for side in (F.col("at") < few, F.col("at") >= few))
     size = lambda side: F.shiftright(of(side, "info"), 31).bitwiseAND(F.lit(_NUMBER))
     left = lambda side: size(side) - of(side, "info").bitwiseAND(F.lit(_NUMBER))
     n, m = size("a"), size("b")
     placed = F.least(left("a"), left("b")) >= F.ceil((n + m) * PERCENT / (100 + PERCENT))
-    # of both sides, so that it is not taken before the exchange
+    meet = (of("a", "w") == of("b", "w")) & placed & _possible(n, m)
+    share = (differ / (n + m)).alias("share")
+    # of both sides, so that it is not taken before the exchange, which serves all sides of these tokens
     still = F.when(_before("a", "b"), of("b", "info")).otherwise(F.lit(_GONE)) < _GONE
-    meet = (of("a", "w") == of("b", "w")) & still & placed & _possible(n, m)
-    pairs = postings.alias("a").join(postings.alias("b"), meet).select(names("a").alias("early"), names("b").alias("late"))
-    more = _verified(pairs, docs)
+    pairs = core.alias("a").join(core.alias("b"), meet & still).select(names("a").alias("early"), names("b").alias("late"), share)
+    still = F.when(_before("a", "b"), of("b", "info")).otherwise(of("a", "info")) < _GONE
+    early, late = (F.when(_before("a", "b"), names(x)).otherwise(names(y)) for x, y in ("ab", "ba"))
+    unlike = core.alias("a").join(others.alias("b"), meet & still & (n < m)).select(early.alias("early"), late.alias("late"), share)
+    more = _verified(pairs.unionByName(unlike), docs)
     result = stored(copies.unionByName(found).unionByName(more), "removed")
-    drop_stored(dealt, found, more, marked)
+    drop_stored(copies, found, more, marked)
     return result
 
 

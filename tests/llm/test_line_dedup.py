@@ -140,3 +140,33 @@ def test_removed_lines_are_not_paired_with_each_earlier_one(spark, monkeypatch):
     got = ld.later_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.line_no) for r in got} == brute(rows) == {(k, 0) for k in range(8, 158)}
     assert sum(sizes) <= 3 * len(rows)
+
+
+def test_near_copies_are_compared_once_each(spark, monkeypatch):
+    rnd = random.Random(4)
+    rows = []
+    for k in range(300):
+        own = [f"w{i}" for i in range(45)]
+        for i in rnd.sample(range(45), 3):
+            own[i] = f"own{k}x{i}"
+        rows.append((k, " ".join(own)))
+    compared = "compared" if hasattr(ld, "_similar") else "pairs"
+    sizes, keep = [], ld.stored
+
+    def counted(df, name):
+        out = keep(df, name)
+        if name == compared:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(ld, "stored", counted)
+    got = ld.later_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.line_no) for r in got} == brute(rows) == {(k, 0) for k in range(1, 300)}
+    assert sum(sizes) <= 3 * len(rows)
+
+
+def test_no_python_on_executors(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda *_: 1 / 0)
+    rows = corpus(20, 7) + EDGES
+    got = ld.later_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.line_no) for r in got} == brute(rows)
