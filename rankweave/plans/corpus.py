@@ -55,7 +55,7 @@ def json_document_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def editable_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages of editable Markdown, each with a table whose cells hold pipes, written as text and read back; lines as they are without blank ones."""
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     cell = F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit(" | "), "lang")
     tables = F.array(F.array(F.array(F.lit("a"), F.lit("b")), F.array(cell, F.lit("x"))))
     pages = _documents(spark, sf_dir).select(F.col("doc_id").alias("page"), F.array_join(lines, "\n").alias("text"), tables.alias("tables"), F.lit(False).alias("is_cover"), (F.col("doc_id") % 10 == 1).alias("is_toc"))
