@@ -110,7 +110,7 @@ def contained_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = boxes.withColumns({"x1": F.col("x0") + 5, "bottom": F.col("top") + 8})
     areas = table(spark, sf_dir, "supplier").select((s % 20).alias("page"), s.alias("area"), (s * 37 % 400).cast("double").alias("x0"), (s * 53 % 500).cast("double").alias("top"))
     areas = areas.withColumns({"x1": F.col("x0") + 120, "bottom": F.col("top") + 200})
-    return files.contained(boxes, areas).groupBy("page", "area").agg(F.count("*").alias("n"), F.min("box").alias("least"))
+    return files.contained_counts(boxes, areas)
 
 
 def _asker():

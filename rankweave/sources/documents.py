@@ -107,6 +107,20 @@ def contained(boxes: DataFrame, areas: DataFrame, slack: float = 1.0, square: fl
     return met.where(inner).select("page", "box", "area")
 
 
+def contained_counts(boxes: DataFrame, areas: DataFrame, slack: float = 1.0, square: float = SQUARE) -> DataFrame:
+    """(page, area, n, least): how many boxes lie in each area that holds any, and the least of them; inputs as for :func:`contained`.
+
+    Boxes of one place and size are counted first and areas of one place and size asked once, so what meets grows with the
+    different rectangles and not with the rows.
+    """
+    shape = ["page", "x0", "top", "x1", "bottom"]
+    counted = boxes.groupBy(*shape).agg(F.struct(F.count("*").alias("n"), F.min("box").alias("least")).alias("box"))
+    asked = areas.select(*shape).distinct().withColumn("area", F.struct(*shape))
+    held = contained(counted, asked, slack, square).groupBy("area").agg(F.sum("box.n").alias("n"), F.min("box.least").alias("least"))
+    named = areas.select(*shape, "area").join(held.select("area.*", "n", "least"), shape)
+    return named.groupBy("page", "area").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+
+
 def index_entries(chunks: DataFrame) -> DataFrame:
     """The columns an index keeps of chunks with embeddings."""
     return chunks.select("id", "embedding", F.col("text").alias("document"), F.element_at("pages", 1).alias("page_start"), "pages", "path", F.col("clause_range").alias("clause"), "char_len")
