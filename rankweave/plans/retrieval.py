@@ -383,7 +383,7 @@ def facet_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     for number, (name, score) in enumerate((("dense", dense.dot), ("near", dense.nearness))):
         own = dense.dense_rank(corpus, asked, score=score).select((F.col("qid") - F.col("qid") % 100).alias("qid"), (F.col("qid") % 100).cast("int").alias("query_no"), F.lit(name).alias("channel"), F.lit(number).alias("channel_no"), "id", "rank")
         ranks = own if ranks is None else ranks.unionByName(own)
-    return fusion.facet_orders(ranks, True, "near")
+    return fusion.facet_orders(stored(ranks, "ranks"), True, "near")  # read twice
 
 
 # ---------------------------------------------------------------- tool loops

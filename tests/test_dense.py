@@ -73,3 +73,8 @@ def ranked(spark, tmp_path, name):
 
 def test_dense_topk_meets_in_blocks(spark, tmp_path):
     assert "NestedLoopJoin" not in ranked(spark, tmp_path, "dense_topk")
+
+
+def test_facet_orders_rank_once(spark, tmp_path):
+    plan = ranked(spark, tmp_path, "facet_orders")
+    assert "NestedLoopJoin" not in plan and "CoGroups" not in plan
