@@ -148,7 +148,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT qid, id, CAST(pick AS INTEGER) AS pick FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY stage, o) AS pick FROM whole) WHERE pick <= 8""",
 )
 def evidence_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = _two_channels(spark, sf_dir)
+    ranks = stored(_two_channels(spark, sf_dir), "ranks")  # a few dozen rows for each query, read twice
     facets = ranks.select("qid", F.col("channel_no").alias("query_no"), "id", F.col("rank").alias("facet_rank"))
     return fusion.select_evidence(fusion.fuse(ranks), facets)
 

@@ -78,3 +78,8 @@ def test_dense_topk_meets_in_blocks(spark, tmp_path):
 def test_facet_orders_rank_once(spark, tmp_path):
     plan = ranked(spark, tmp_path, "facet_orders")
     assert "NestedLoopJoin" not in plan and "CoGroups" not in plan
+
+
+def test_evidence_selection_ranks_once(spark, tmp_path):
+    plan = ranked(spark, tmp_path, "evidence_selection")
+    assert "NestedLoopJoin" not in plan and "CoGroups" not in plan
