@@ -83,3 +83,7 @@ def test_facet_orders_rank_once(spark, tmp_path):
 def test_evidence_selection_ranks_once(spark, tmp_path):
     plan = ranked(spark, tmp_path, "evidence_selection")
     assert "NestedLoopJoin" not in plan and "CoGroups" not in plan
+
+
+def test_rrf_fusion_meets_in_blocks(spark, tmp_path):
+    assert "NestedLoopJoin" not in ranked(spark, tmp_path, "rrf_fusion")
