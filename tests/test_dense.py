@@ -87,3 +87,7 @@ def test_evidence_selection_ranks_once(spark, tmp_path):
 
 def test_rrf_fusion_meets_in_blocks(spark, tmp_path):
     assert "NestedLoopJoin" not in ranked(spark, tmp_path, "rrf_fusion")
+
+
+def test_first_hits_meet_in_blocks(spark, tmp_path):
+    assert "NestedLoopJoin" not in ranked(spark, tmp_path, "first_hits")
